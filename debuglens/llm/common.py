@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from debuglens.session import cut, ready, table
 
-__all__ = ["cut", "documents", "parts", "ready", "table", "text_bytes"]
+__all__ = ["BROADCAST_ROWS", "attach", "cut", "documents", "parts", "ready", "table", "text_bytes"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,3 +22,14 @@ def parts(df: DataFrame) -> int:
 def text_bytes(name: str = "text") -> Column:
     """The column's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"").cast("binary")).alias(name)
+
+
+#: A counted id table of at most this many rows (16 bytes each) may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def attach(docs: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """docs joined with a table of ids; ids is broadcast only if its counted rows fit the bound."""
+    ids = cut(ids)
+    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if small else ids, on)

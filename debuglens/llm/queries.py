@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
-from debuglens.llm import exact_dedup
+from pyspark.sql import functions as F
+
+from debuglens.llm import bpe, exact_dedup, mixing, simhash
 from debuglens.llm.common import documents
 
 
+def bpe_path() -> str:
+    """The byte-level vocabulary of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op3_bpe(spark, sf_dir):
+    return bpe.digests(documents(spark, sf_dir), bpe_path())
+
+
+def op6_mixing(spark, sf_dir):
+    out = mixing.shares(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+def op7_simhash(spark, sf_dir):
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql():
-    return {"op2_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
