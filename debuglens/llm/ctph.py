@@ -2,7 +2,7 @@
 
 A rolling hash over a window of bytes ends a piece wherever its low bits are all ones; each
 piece gives a letter. The number of low bits is the block size's power of two, chosen so that a
-text has 32 to 128 pieces whatever its length; the next larger block size is kept too. Two
+text has 32 to 128 pieces whatever its length; the next larger block sizes are kept too. Two
 fingerprints are compared at block sizes that both have, by edit distance, and count as alike
 only if they share a run of letters.
 """
@@ -23,6 +23,8 @@ WINDOW = 7
 MOST, FEWEST = 128, 32
 #: Bytes rolled at once.
 STRETCH = 1 << 20
+#: Block sizes that a fingerprint has.
+LEVELS = 3
 #: Letters in a row that alike fingerprints share.
 RUN = 4
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -32,7 +34,7 @@ POWERS = [np.uint32(pow(0x01000193, k, 1 << 32)) for k in range(WINDOW)]
 
 
 def triggers(data: bytes, low: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of pieces for the block size 2**low, and whether each is one for the next size too."""
+    """Ends of pieces for the block size 2**low, and the bits above the low ones."""
     ends, wider = [], []
     mask = np.uint32((1 << low) - 1)
     for at in range(0, len(data), STRETCH):
@@ -47,8 +49,8 @@ def triggers(data: bytes, low: int) -> tuple[np.ndarray, np.ndarray]:
         r = r[at - begin :]
         found = np.flatnonzero((r & mask) == mask)
         ends.append(found + at + 1)
-        wider.append((r[found] >> np.uint32(low) & np.uint32(1)) == 1)
-    return (np.concatenate(ends), np.concatenate(wider)) if ends else (np.zeros(0, np.int64), np.zeros(0, bool))
+        wider.append(r[found] >> np.uint32(low))
+    return (np.concatenate(ends), np.concatenate(wider)) if ends else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
 
 def _letters(data: bytes, ends: list[int]) -> str:
@@ -57,7 +59,7 @@ def _letters(data: bytes, ends: list[int]) -> str:
 
 
 def fingerprint(data: bytes) -> str:
-    """``power:letters:letters at the next power``; the empty text has ``0::``."""
+    """``power:letters:letters at the next power:...`` for LEVELS powers; the empty text has power 0 and no letters."""
     low = max(1, (len(data) // 64).bit_length() - 1)
     ends, wider = triggers(data, low)
     if len(ends) < FEWEST:
@@ -67,7 +69,8 @@ def fingerprint(data: bytes) -> str:
     while len(ends) > MOST and low < 31:
         low += 1
         ends, wider = triggers(data, low)
-    return f"{low if data else 0}:{_letters(data, ends.tolist())}:{_letters(data, ends[wider].tolist())}"
+    kept = [ends[(wider & np.uint32((1 << k) - 1)) == (1 << k) - 1] for k in range(LEVELS)]
+    return ":".join([str(low if data else 0), *(_letters(data, e.tolist()) for e in kept)])
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -105,16 +108,11 @@ def likeness(a: str, b: str) -> float:
     """0 to 1; 0 for fingerprints whose block sizes are not compatible."""
     if a == b:
         return 1.0
-    (p, p1, p2), (q, q1, q2) = a.split(":"), b.split(":")
-    if not p1 or not q1:
+    (p, *first), (q, *second) = a.split(":"), b.split(":")
+    if not first[0] or not second[0]:
         return 0.0
-    if p == q:
-        return max(_alike(p1, q1), _alike(p2, q2))
-    if int(p) == int(q) + 1:
-        return _alike(p1, q2)
-    if int(q) == int(p) + 1:
-        return _alike(p2, q1)
-    return 0.0
+    one, two = dict(enumerate(first, int(p))), dict(enumerate(second, int(q)))
+    return max((_alike(one[k], two[k]) for k in one.keys() & two.keys()), default=0.0)
 
 
 def edited(text: str, following: str) -> str:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from debuglens.llm import bpe, ctph, exact_dedup, langid, licenses, mixing, simhash
-from debuglens.llm.common import documents
+from debuglens.llm import bpe, ctph, exact_dedup, langid, licenses, mixing, quality, simhash
+from debuglens.llm.common import documents, table
 
 
 def op1_langid(spark, sf_dir):
@@ -43,6 +43,11 @@ def op7_simhash(spark, sf_dir):
     return simhash.near_groups(documents(spark, sf_dir))
 
 
+def op8_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_licenses(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
 
