@@ -316,27 +316,35 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(_decoded(path), "doc_id long, text string")
 
 
-def _digests(path: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+def _digests(path: str, with_ids: bool):
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches):
         codec = Codec(path)
         decimal = {i: b"%d" % i for i in codec.vocabulary.data}
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
+            size = 0
             for doc_id, ids in zip(batch.column(0).to_pylist(), codec.encode_all(t.as_py() for t in batch.column(1))):
                 joined = hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest()
-                rows.append((doc_id, len(ids), joined, hashlib.sha256(codec.decode(ids).encode()).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+                rows.append((doc_id, len(ids), joined, hashlib.sha256(codec.decode(ids).encode()).hexdigest(), *[ids] * with_ids))
+                size += len(ids) * with_ids
+                if size > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each whole text encoded and decoded again in one pass.
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): each whole text encoded and decoded again in one pass.
 
     Null and empty texts have 0 tokens and the digests of the empty string. Rows that repeat a
     doc_id each have their row; an empty table gives an empty result.
     """
     ready(docs.sparkSession)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_digests(path, with_ids), columns)

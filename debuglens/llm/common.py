@@ -24,12 +24,15 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"").cast("binary")).alias(name)
 
 
-#: A counted id table of at most this many rows (16 bytes each) may be broadcast.
+#: A counted id table of at most this many numbers (about 16 bytes each) may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
-def attach(docs: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """docs joined with a table of ids; ids is broadcast only if its counted rows fit the bound."""
+def attach(docs: DataFrame, ids: DataFrame, on: str, how: str = "inner", weight: Column | None = None) -> DataFrame:
+    """docs joined with a table of ids; ids is broadcast only if the counted numbers in it fit the bound.
+
+    weight is the count of numbers in a row of ids, 1 if not given.
+    """
     ids = cut(ids)
-    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if small else ids, on)
+    total = ids.agg(F.sum(F.lit(1) if weight is None else weight + 1)).first()[0] or 0
+    return docs.join(F.broadcast(ids) if total <= BROADCAST_ROWS else ids, on, how)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from debuglens.llm import bpe, ctph, exact_dedup, langid, licenses, mixing, quality, simhash
+from debuglens.llm import bpe, ctph, exact_dedup, langid, licenses, linededup, mixing, quality, simhash, substrings
 from debuglens.llm.common import documents, table
 
 
@@ -34,6 +34,10 @@ def op4_ctph(spark, sf_dir):
     return ctph.fingerprints(documents(spark, sf_dir))
 
 
+def op5_substrings(spark, sf_dir):
+    return substrings.digests(documents(spark, sf_dir))
+
+
 def op6_mixing(spark, sf_dir):
     out = mixing.shares(documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
@@ -52,6 +56,10 @@ def op9_licenses(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op10_line_dedup(spark, sf_dir):
+    return linededup.digests(documents(spark, sf_dir))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
