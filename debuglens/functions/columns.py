@@ -42,9 +42,14 @@ def hex_plain(value: Column) -> Column:
 # Bytes: little-endian reads, null where they aren't all there.
 
 
+def _swapped(digits: Column, width: int) -> Column:
+    """Hex digits of width bytes in the other byte order."""
+    return F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(width))])
+
+
 def le_unsigned(data: Column, offset: Column, width: int) -> Column:
     part = F.substring(data, offset + 1, F.lit(width))
-    value = F.conv(F.hex(F.reverse(part)), 16, 10).cast("decimal(20,0)")
+    value = F.conv(_swapped(F.hex(part), width), 16, 10).cast("decimal(20,0)")
     value = value.cast("long") if width < 8 else value
     return F.when((offset >= 0) & (F.length(part) == width), value)
 
@@ -57,7 +62,7 @@ def le_signed(data: Column, offset: Column, width: int) -> Column:
 
 def le_bytes(value: Column, width: int) -> Column:
     """A number of up to four bytes as little-endian bytes."""
-    return F.reverse(F.unhex(F.lpad(F.hex(value.bitwiseAND(F.lit((1 << 8 * width) - 1))), 2 * width, "0")))
+    return F.unhex(_swapped(F.lpad(F.hex(value.bitwiseAND(F.lit((1 << 8 * width) - 1))), 2 * width, "0"), width))
 
 
 def string_at(data: Column, offset: Column) -> Column:
