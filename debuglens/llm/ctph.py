@@ -121,6 +121,10 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+#: Stands for a missing id while documents are in order.
+NO_ID = -(1 << 63)
+
+
 def _dealt(bounds: np.ndarray, last: int):
     """Rows with their range, and again, as extra, in the range that needs them as the next document."""
 
@@ -163,16 +167,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty. The next document is the one of the next smaller doc_id, and
     the largest comes after the smallest; rows that repeat a doc_id follow each other in order
-    of their text. An only document is its own next one. An empty table gives an empty result.
+    of their text. An only document is its own next one. A row without doc_id comes last. An empty table gives an empty result.
 
     Documents are dealt once, in ranges of ids whose bounds are ids of documents; a bound's
     document also goes to the range above it, which ends with it.
     """
     ready(docs.sparkSession)
     n = parts(docs)
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id")
     found = ids.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(0.5)), F.lit(max(10_000, 20 * n))).alias("q"), F.max("doc_id").alias("last")).first()
     bounds = np.array(sorted(set(found["q"] or ())), np.int64)
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_dealt(bounds, found["last"] if found["last"] is not None else 0), "part int, extra boolean, doc_id long, text string")
+    rows = docs.mapInArrow(_dealt(bounds, found["last"] if found["last"] is not None else 0), "part int, extra boolean, doc_id long, text string")
     dealt = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("extra", F.desc("doc_id"), "text")
-    return dealt.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = dealt.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -61,7 +61,7 @@ def shares(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET) -> DataFram
             F.col("source").cast("string").alias("source"),
             key.alias("source_key"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.col("doc_id").cast("string").cast("binary")).alias("turn"),
+            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("turn"),
         ).withColumn("bucket", F.substring("turn", 1, 3))
     )
     buckets = cut(sized.groupBy("source_key", "source", "bucket").agg(F.sum("size").alias("words")))
@@ -91,7 +91,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS turn FROM documents
+  SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS turn FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY source
 ), w AS (
