@@ -75,3 +75,41 @@ def refined(rows: DataFrame) -> DataFrame:
     from debuglens.sources.tables import decoded
 
     return decoded(rows.select(rows.columns[0], "tree", "data"), lambda t, d: [{"path": p, "value": v} for p, v in ast.refined(json.loads(t), d)], "path string, value string")
+
+
+def map_to_files(types: DataFrame, references: DataFrame) -> DataFrame:
+    """(handle, files) of types (module, handle, files) after one pass of reference counting.
+
+    references: (src, dst, n), how often src's tree refers to dst, through chains of type names.
+    A type of several candidate files goes to the one whose types refer to it most, ties to the
+    earlier candidate, if any does. What types of one file refer to is counted by a join and an
+    aggregation; only the types that are still open go, in order of their handles, through a
+    loop per module in which a type that has found its file counts for those after it.
+    """
+    ready(types.sparkSession)
+    settled = types.filter(F.size("files") == 1).select(F.col("handle").alias("src"), F.col("files")[0].alias("file"))
+    open_ = types.filter(F.size("files") > 1)
+    counts = references.join(settled, "src").groupBy(F.col("dst").alias("handle"), "file").agg(F.sum("n").alias("n"))
+    counted = open_.join(counts, "handle", "left").groupBy("module", "handle", "files").agg(F.collect_list(F.when(F.col("file").isNotNull(), F.struct("file", "n"))).alias("counts"))
+    inner = references.join(open_.select(F.col("handle").alias("src")), "src", "left_semi").join(open_.select(F.col("handle").alias("dst")), "dst", "left_semi")
+    uses = inner.groupBy(F.col("src").alias("handle")).agg(F.collect_list(F.struct("dst", "n")).alias("uses"))
+    rows = counted.join(uses, "handle", "left").select("module", "handle", "files", "counts", "uses")
+
+    def one(table: pa.Table) -> pa.Table:
+        later: dict[tuple[int, int], int] = {}
+        handles, files = [], []
+        for row in table.sort_by("handle").to_pylist():
+            n = {c["file"]: c["n"] for c in row["counts"]}
+            best, most = None, 0
+            for f in row["files"]:
+                if (total := n.get(f, 0) + later.get((row["handle"], f), 0)) > most:
+                    best, most = f, total
+            handles.append(row["handle"])
+            files.append(row["files"] if best is None else [best])
+            for use in row["uses"] or () if best is not None else ():
+                key = (use["dst"], best)
+                later[key] = later.get(key, 0) + use["n"]
+        return pa.table({"handle": pa.array(handles, pa.int64()), "files": pa.array(files, pa.list_(pa.int64()))})
+
+    found = rows.groupBy("module").applyInArrow(one, "handle long, files array<long>")
+    return found.unionByName(types.filter(F.size("files") <= 1).select("handle", "files"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from debuglens.functions import ast, stabs
 from debuglens.functions import columns as C
-from debuglens.operators import lookup, passes, reports
+from debuglens.operators import lookup, passes, reports, types
 from debuglens.operators.analyser import LOCATIONS, analyse
 from debuglens.plans.formats import _brands, _debug, _elf, _forged, _mdebug
 from debuglens.plans.registry import FN, GV, Bridge, query
@@ -501,9 +501,11 @@ def b11(b: Bridge):
     return b.table("part").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ", ").alias("toolchains"))
 
 
-@query("f09", "SELECT type, file FROM (SELECT p_partkey AS type, p_brand AS file FROM part WHERE p_partkey % 3 = 0) q")
+@query("f09", "SELECT p_partkey AS type, CAST(p_partkey // 3 % 2 + 1 AS BIGINT) AS file FROM part WHERE p_partkey - p_partkey % 3 IN (SELECT p_partkey FROM part)")
 def f09(b: Bridge):
-    """Second pass over types: those that one file has count as references; each round uses what the last one settled."""
-    settled = b.functions.filter("handle % 3 = 0").select(F.col("handle").alias("type"), "file")
-    counts = settled.select("type", "file", F.lit(1).cast("long").alias("n"), F.lit(0).alias("pos"))
-    return passes.best_file(counts).select("type", "file")
+    """Types of several files: each third one is settled and refers to the next, which then refers to the one after it."""
+    k = F.col("p_partkey")
+    own = (F.floor(k / 3) % 2 + 1).cast("long")
+    rows = b.table("part").select(F.lit(0).alias("module"), k.alias("handle"), F.when(k % 3 == 0, F.array(own)).otherwise(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("files"))
+    references = b.table("part").filter("p_partkey % 3 < 2").select(k.alias("src"), (k + 1).alias("dst"), F.lit(1).cast("long").alias("n"))
+    return types.map_to_files(rows, references).select(F.col("handle").alias("type"), F.col("files")[0].alias("file"))
