@@ -509,3 +509,36 @@ def f09(b: Bridge):
     rows = b.table("part").select(F.lit(0).alias("module"), k.alias("handle"), F.when(k % 3 == 0, F.array(own)).otherwise(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("files"))
     references = b.table("part").filter("p_partkey % 3 < 2").select(k.alias("src"), (k + 1).alias("dst"), F.lit(1).cast("long").alias("n"))
     return types.map_to_files(rows, references).select(F.col("handle").alias("type"), F.col("files")[0].alias("file"))
+
+
+@query("b04", "SELECT p_partkey AS h, 'struct' AS kind, CAST(16 AS BIGINT) AS size, 'bitfield' AS last FROM part")
+def b04(b: Bridge):
+    """A type's tree as JSON, read again by paths."""
+    from debuglens.plans.reports import _struct
+
+    get = lambda p: F.get_json_object("tree", p)
+    return _struct(b).select("h", get("$.kind").alias("kind"), get("$.size").cast("long").alias("size"), get("$.fields[4].kind").alias("last"))
+
+
+@query("b22", "SELECT p_brand AS file, count(DISTINCT p_type) AS units FROM part GROUP BY p_brand")
+def b22(b: Bridge):
+    """Built sections have the siblings that their entries need."""
+    entries = tables.dwarf_entries(_forged(_brands(b), "file", _debug))
+    return entries.filter("depth = 0 AND sibling > die").groupBy("file").agg(F.count("*").alias("units"))
+
+
+@query("j13", "SELECT p_partkey AS h, 'T' || p_partkey AS target FROM part")
+def j13(b: Bridge):
+    """A type inside its own member function is a reference to it by name."""
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("T"), k, F.lit(":T(1,1)=s1f::(1,2)=#(1,1),(0,1),(1,3)=*(1,1);:_ZT1f;2A.;;"))
+    rows = b.table("part").select(F.col("p_partkey").alias("h"), text.alias("t"))
+    return tables.decoded(rows, lambda t: [{"target": ast.from_stabs((s := stabs.parse_symbol(t)).type, s.type.numbered())["members"][0]["params"][0]["value"]["name"]}], "target string")
+
+
+@query("l09", f"WITH {FN} SELECT count(*) AS n FROM fn")
+def l09(b: Bridge):
+    """Work under a tag by which it can be called off."""
+    from debuglens.session import cancellable
+
+    return cancellable(b.spark, "debuglens-import", lambda: b.functions.agg(F.count("*").alias("n")))

@@ -49,3 +49,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def cancellable(spark: SparkSession, tag: str, run):
+    """run() under a job tag; ``spark.interruptTag(tag)`` from another thread ends its jobs between files."""
+    spark.addTag(tag)
+    try:
+        return run()
+    finally:
+        spark.removeTag(tag)
