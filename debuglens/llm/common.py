@@ -28,11 +28,37 @@ def text_bytes(name: str = "text") -> Column:
 BROADCAST_ROWS = 1_000_000
 
 
-def attach(docs: DataFrame, ids: DataFrame, on: str, how: str = "inner", weight: Column | None = None) -> DataFrame:
-    """docs joined with a table of ids; ids is broadcast only if the counted numbers in it fit the bound.
+#: Slots of a sieve: 16 MB of bits, whatever the number of ids is.
+SLOTS = 1 << 27
 
-    weight is the count of numbers in a row of ids, 1 if not given.
+
+def sieved(docs: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """docs with maybe_, true for each row whose id is in ids and for few others.
+
+    Ids are hashed into a bitmap of fixed size, kept in rows of 4 KB and broadcast: its bound
+    doesn't depend on the number of ids. With more ids than slots it lets all rows through.
+    """
+    slot = F.pmod(F.xxhash64(on, F.lit("sieve")), F.lit(SLOTS))
+    bits = ids.select(F.shiftright(slot, 15).alias("bucket_"), slot.bitwiseAND(F.lit(32767)).alias("bit_"))
+    maps = bits.groupBy("bucket_").agg(F.bitmap_construct_agg("bit_").alias("map_"))
+    placed = docs.withColumn("bucket_", F.shiftright(slot, 15)).withColumn("bit_", slot.bitwiseAND(F.lit(32767)).cast("int"))
+    byte = F.conv(F.hex(F.substring("map_", F.shiftright("bit_", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    test = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("bit_").bitwiseAND(F.lit(7)))) != 0
+    return placed.join(F.broadcast(maps), "bucket_", "left").withColumn("maybe_", F.coalesce(test, F.lit(False))).drop("bucket_", "bit_", "map_")
+
+
+def attach(docs: DataFrame, ids: DataFrame, on: str, how: str = "inner", weight: Column | None = None, small: bool = True) -> DataFrame:
+    """docs joined (inner, left or left_anti) with ids, a table that has each id once.
+
+    weight counts the numbers in a row of ids, 1 if not given. If small, and the counted numbers
+    fit the bound, ids is broadcast. Otherwise a sieve picks the rows that may have a partner,
+    and only these are shuffled.
     """
     ids = cut(ids)
-    total = ids.agg(F.sum(F.lit(1) if weight is None else weight + 1)).first()[0] or 0
-    return docs.join(F.broadcast(ids) if total <= BROADCAST_ROWS else ids, on, how)
+    if small and (ids.agg(F.sum(F.lit(1) if weight is None else weight + 1)).first()[0] or 0) <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(ids), on, how)
+    told = sieved(docs, ids, on)
+    met = told.filter("maybe_").drop("maybe_").join(ids.hint("merge"), on, how)
+    if how == "inner":
+        return met
+    return met.unionByName(told.filter("NOT maybe_").drop("maybe_"), allowMissingColumns=True)

@@ -14,7 +14,10 @@ is a single key with a large count and never a group in one task:
 2. What is left, the ends of shared passages, is cut into SLICES of distances, with the same tests.
 3. The windows of slices still open are counted one by one.
 
-The tests that decide that bytes go use fingerprints of 128 bits.
+Strings count as equal if two fingerprints agree, 128 bits in all: that of the common part, which
+is also what rows are dealt by, and that of the whole. Common parts that are so frequent that
+their rows should not meet in one task are found on a sample of the documents and counted with
+partial aggregations instead; either way gives the same result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from debuglens.llm.common import attach, cut, ready, text_bytes
@@ -70,12 +73,9 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place[new], first[new], last[np.r_[new[1:], True]]
 
 
-def _wide(data: bytes, begin: int, end: int) -> tuple[int | None, int | None]:
-    """A string's 128-bit fingerprint as two signed numbers; nulls if it isn't all there."""
-    if begin < 0 or end > len(data):
-        return None, None
-    value = xxhash.xxh3_128_intdigest(data[begin:end])
-    return (value >> 64) - (1 << 63), (value & (1 << 64) - 1) - (1 << 63)
+def _string(data: bytes, begin: int, end: int) -> int | None:
+    """A string's fingerprint; null if it isn't all there."""
+    return xxhash.xxh3_64_intdigest(data[begin:end], 7) - (1 << 63) if begin >= 0 and end <= len(data) else None
 
 
 def _core(data: bytes, place: int, near: int, far: int, seed: int) -> int | None:
@@ -84,8 +84,9 @@ def _core(data: bytes, place: int, near: int, far: int, seed: int) -> int | None
     return xxhash.xxh3_64_intdigest(data[begin:end], seed) - (1 << 63) if begin >= 0 and end <= len(data) else None
 
 
-TESTS = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("part", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("core", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
-TEST_COLUMNS = "doc_id long, place long, part int, first long, last long, core long, hi long, lo long"
+TESTS = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("part", pa.int32()), ("first", pa.int16()), ("last", pa.int16()), ("core", pa.int64()), ("whole", pa.int64())])
+#: first and last are distances from the place.
+TEST_COLUMNS = "doc_id long, place long, part int, first short, last short, core long, whole long"
 
 
 def _test(doc_id: int, data: bytes, place: int, part: int, near: int, far: int, first: int, last: int):
@@ -93,7 +94,7 @@ def _test(doc_id: int, data: bytes, place: int, part: int, near: int, far: int,
     low, high = max(first, place - far), min(last, place - near)
     if low > high:
         return None
-    return (doc_id, place, part, low, high, _core(data, place, near, far, part), *_wide(data, place - far, place - near + LENGTH))
+    return (doc_id, place, part, place - low, place - high, _core(data, place, near, far, part), _string(data, place - far, place - near + LENGTH))
 
 
 def _given(rows):
@@ -124,7 +125,7 @@ def _slices(batches):
             for x in open_:
                 near, far = HALVES[x["part"]]
                 for d in range(near, far + 1, SLICE):
-                    if row := _test(doc_id, data, x["place"], 2 + d, d, min(far, d + SLICE - 1), x["first"], x["last"]):
+                    if row := _test(doc_id, data, x["place"], 2 + d, d, min(far, d + SLICE - 1), x["place"] - x["first"], x["place"] - x["last"]):
                         rows.append(row)
             if len(rows) > 50_000:
                 yield _given(rows)
@@ -134,7 +135,7 @@ def _slices(batches):
 
 
 def _windows(batches):
-    names = ["doc_id", "first", "last", "hi", "lo"]
+    names = ["doc_id", "first", "core", "whole"]
 
     def give(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
@@ -144,8 +145,11 @@ def _windows(batches):
         for doc_id, text, open_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             data = text.as_buffer().to_pybytes()
             for x in open_:
-                for i in range(x["first"], x["last"] + 1):
-                    rows.append((doc_id, i, i, *_wide(data, i, i + LENGTH)))
+                near = x["part"] - 2
+                far = min(near + SLICE - 1, HALVES[near > HALF][1])
+                core = _core(data, x["place"], near, far, x["part"])
+                for i in range(x["place"] - x["first"], x["place"] - x["last"] + 1):
+                    rows.append((doc_id, i, core, _string(data, i, i + LENGTH)))
                 if len(rows) > 50_000:
                     yield give(rows)
                     rows = []
@@ -153,41 +157,70 @@ def _windows(batches):
             yield give(rows)
 
 
-def _decided(tests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(repeated, open) rows of tests: those whose windows all occur elsewhere, and those that may.
+#: Rows of one common part that may meet in a task, and the share of documents that they are estimated on.
+MEET = 100_000
+SAMPLE = 16
 
-    A repeated row can be the only place where an open row's windows occur again, so one row of
-    each repeated string whose core is also that of an open row stays open, as a witness.
-    """
-    shared = tests.filter("core IS NOT NULL").groupBy("core").count().filter(F.col("count") > 1).select("core")
-    met = cut(tests.join(shared, "core"))
-    twice = met.filter("hi IS NOT NULL").groupBy("hi", "lo").count().filter(F.col("count") > 1).select("hi", "lo", F.lit(True).alias("twice"))
-    told = cut(met.join(twice, ["hi", "lo"], "left"))
-    sure, open_ = told.filter("twice"), told.filter("twice IS NULL")
-    row = F.struct("doc_id", "place", "part", "first", "last", "core")
-    witness = sure.groupBy("hi", "lo").agg(F.min(row).alias("row")).select("row.*").join(open_.select("core").distinct(), "core", "left_semi")
-    columns = ["doc_id", "place", "part", "first", "last"]
-    return sure, open_.select(columns).unionByName(witness.select(columns))
+
+def _frequent(docs: DataFrame, tests, sample: int = SAMPLE) -> DataFrame:
+    """Common parts with about MEET rows or more; at most one for each MEET rows of the input."""
+    some = tests(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0))
+    return cut(some.groupBy("core").count().filter(F.col("count") >= MEET // sample).select("core"))
 
 
-def _open(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    """(doc_id, text, open) of the documents with open tests; a document's list is bounded by its text."""
-    lists = tests.groupBy("doc_id").agg(F.collect_list(F.struct("place", "part", "first", "last")).alias("open"))
-    return attach(docs, lists, "doc_id", "inner", 4 * F.size("open")).select("doc_id", "text", "open")
+def _decided(tests: DataFrame, frequent: DataFrame) -> DataFrame:
+    """tests whose common part occurs twice, with repeated (all their windows occur elsewhere) and stays (a closer look is due).
+
+    A repeated row can be the only place where another row's windows occur again, so of each
+    repeated string whose common part is also that of a row that isn't, one row stays as a
+    witness.
+    """
+    known = tests.filter("core IS NOT NULL")
+    has = frequent.count()
+    usual = known.join(F.broadcast(frequent), "core", "left_anti") if has else known
+    string = Window.partitionBy("core", "whole")
+    counted = usual.withColumn("n_whole", F.count("whole").over(string)).withColumn("rank", F.row_number().over(string.orderBy("doc_id", "place")))
+    part = Window.partitionBy("core")
+    counted = counted.withColumn("n_core", F.count("*").over(part)).withColumn("lone", F.min("n_whole").over(part) < 2)
+    out = counted.filter("n_core > 1").select("doc_id", "place", "part", "first", "last", (F.col("n_whole") > 1).alias("repeated"), ((F.col("n_whole") < 2) | ((F.col("rank") == 1) & F.col("lone"))).alias("stays"))
+    if has:
+        out = out.unionByName(_decided_frequent(known.join(F.broadcast(frequent), "core", "left_semi")))
+    return cut(out)
+
+
+def _decided_frequent(tests: DataFrame) -> DataFrame:
+    """The same by partial aggregations and joins that can be split, for common parts of very many rows."""
+    strings = cut(tests.groupBy("core", "whole").agg(F.count("whole").alias("n_whole"), F.min(F.struct("doc_id", "place")).alias("chosen")))
+    parts_ = strings.groupBy("core").agg((F.min("n_whole") < 2).alias("lone"))
+    told = tests.join(strings.join(parts_, "core").withColumnsRenamed({"core": "c_", "whole": "w_"}), (F.col("core") == F.col("c_")) & F.col("whole").eqNullSafe(F.col("w_")))
+    witness = (F.col("chosen") == F.struct("doc_id", "place")) & F.col("lone")
+    return told.select("doc_id", "place", "part", "first", "last", (F.col("n_whole") > 1).alias("repeated"), ((F.col("n_whole") < 2) | witness).alias("stays"))
+
+
+def _open(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """(doc_id, text, open) of the documents with tests that stay; a document's list is bounded by its text."""
+    lists = told.filter("stays").groupBy("doc_id").agg(F.collect_list(F.struct("place", "part", "first", "last")).alias("open"))
+    return attach(docs, lists, "doc_id", small=False).select("doc_id", "text", "open")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last): runs of windows that also occur elsewhere, all of them, maybe overlapping."""
+    """(doc_id, first, last): runs of windows, named by their starts, that also occur elsewhere; all of them, maybe overlapping."""
     ready(docs.sparkSession)
     texts = docs.select("doc_id", text_bytes())
-    halves = cut(texts.mapInArrow(_halves, TEST_COLUMNS))
-    sure, maybe = _decided(halves)
-    slices = cut(_open(texts, maybe).mapInArrow(_slices, TEST_COLUMNS))
-    surer, left = _decided(slices)
-    windows = cut(_open(texts, left).mapInArrow(_windows, "doc_id long, first long, last long, hi long, lo long"))
-    twice = windows.groupBy("hi", "lo").count().filter(F.col("count") > 1).select("hi", "lo")
-    runs = ["doc_id", "first", "last"]
-    return sure.select(runs).unionByName(surer.select(runs)).unionByName(windows.join(twice, ["hi", "lo"]).select(runs))
+    halves = lambda d: d.mapInArrow(_halves, TEST_COLUMNS)
+    whole = _decided(halves(texts), _frequent(texts, halves))
+    slices = lambda d: d.mapInArrow(_slices, TEST_COLUMNS)
+    opened = cut(_open(texts, whole))
+    closer = _decided(slices(opened), _frequent(opened, slices))
+    windows = cut(_open(opened.select("doc_id", "text"), closer).mapInArrow(_windows, "doc_id long, first long, core long, whole long"))
+    frequent = _frequent(windows, lambda d: d)
+    usual = windows.join(F.broadcast(frequent), "core", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("core", "whole")))
+    often = windows.join(F.broadcast(frequent), "core", "left_semi")
+    twice = often.groupBy("core", "whole").count().filter(F.col("count") > 1).select("core", "whole")
+    again = usual.filter("n > 1").select("doc_id", "first").unionByName(often.join(twice, ["core", "whole"]).select("doc_id", "first"))
+    run = ["doc_id", (F.col("place") - F.col("first")).alias("first"), (F.col("place") - F.col("last")).alias("last")]
+    told = [t.filter("repeated").select(*run) for t in (whole, closer)]
+    return told[0].unionByName(told[1]).unionByName(again.withColumn("last", F.col("first")))
 
 
 REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
@@ -230,7 +263,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result.
     """
     lists = repeated(docs).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    joined = attach(docs.select("doc_id", text_bytes()), lists, "doc_id", "left", 2 * F.size("runs"))
+    joined = attach(docs.select("doc_id", text_bytes()), lists, "doc_id", "left", small=False)
     return joined.select("doc_id", "text", "runs").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
 
 

@@ -462,3 +462,22 @@ def test_nulls_everywhere_and_repeated_rows(spark):
     assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in groups} == {(1, 1, 2), (2, 2, 3), (3, 2, 3)} and len(groups) == 5
     for op in (lambda d: bpe.digests(d, bpe_path()), ctph.fingerprints, mixing.shares, simhash.near_groups, licenses.scan, linededup.digests, substrings.digests, lambda d: quality.score(d, None)):
         assert op(df).count() == 5
+
+
+def test_rows_without_an_id_are_kept(spark):
+    df = documents(spark, [(None, "one text of a few words", "en", "a"), (None, None, None, None), (5, "another text", "en", "a")])
+    held = F.coalesce(F.col("doc_id") % 3 == 1, F.lit(False))
+    for op in (lambda d: langid.predict(d, langid.fit(d, ~held), held), exact_dedup.exact_groups, lambda d: bpe.digests(d, bpe_path()), ctph.fingerprints, substrings.digests, mixing.shares, simhash.near_groups, lambda d: quality.score(d, None), licenses.scan, linededup.digests):
+        assert op(df).count() == 3
+
+
+def test_attaching_with_a_sieve_loses_and_adds_nothing(spark):
+    from debuglens.llm.common import attach
+
+    docs = spark.range(2000).withColumnRenamed("id", "doc_id").withColumn("v", F.col("doc_id") * 2)
+    ids = spark.range(0, 4000, 7).select(F.col("id").alias("doc_id"), (F.col("id") + 1).alias("w"))
+    for how in ("inner", "left", "left_anti"):
+        want = sorted(map(str, docs.join(ids, "doc_id", how).collect()))
+        for small in (True, False):
+            got = attach(docs, ids if how != "left_anti" else ids.select("doc_id"), "doc_id", how, small=small)
+            assert sorted(map(str, got.select(*docs.join(ids, "doc_id", how).columns).collect())) == want
