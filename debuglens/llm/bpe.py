@@ -32,7 +32,7 @@ BORDER = "\u0100"
 LONG = 64
 NONE = np.iinfo(np.int64).max
 #: Words of a task that stay known; above it the memory starts anew.
-KNOWN = 400_000
+KNOWN = 200_000
 #: Code points split into words at once, cut where no word can cross.
 PIECE = 1 << 20
 
@@ -72,6 +72,8 @@ class Vocabulary:
         self.pair_key, self.pair_rank = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
         self.pair_id = np.array(made, np.int64)[order]
         self.byte_id = np.array([ids[bytes((c,))] for c in range(256)], np.int64)
+        #: One number object for each id, which all known words share.
+        self.shared = np.array(range(size), object)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.data = {i: b for b, i in ids.items()} | {i: s.encode() for s, i in self.special.items()}
         #: Longest match from the left, over bytes written as Latin-1.
@@ -184,7 +186,7 @@ class Vocabulary:
         if done_token:
             token, owner = np.concatenate(done_token), np.concatenate(done_owner)
             order = np.argsort(owner, kind="stable")
-            token, owner = token[order].tolist(), owner[order]
+            token, owner = self.shared[token[order]].tolist(), owner[order]
             edge = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
             for k in short:
                 out[k] = token[edge[k] : edge[k + 1]]
@@ -198,7 +200,7 @@ class Vocabulary:
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         bad[owner[inner[~self.compatible(flat[inner], flat[inner + 1])]]] = True
         edge = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-        listed = flat.tolist()
+        listed = self.shared[flat].tolist()
         out = [listed[i:j] for i, j in zip(edge, edge[1:])]
         failing = np.flatnonzero(bad).tolist()
         for k, tokens in zip(failing, self.merged([words[k] for k in failing])):
