@@ -1,16 +1,20 @@
 """License scans: phrases at fixed places, and an exact set-similarity join with notice templates.
 
-Every line of a text is a block. A block matches a template if it contains at least the share
-``CONTAINMENT`` of the template's distinct words. The join is exact and uses three filters:
+Blocks are the lines of a text and, so that wrapped notices are found, all windows of as many
+words as the longest template has, over the whole text with line breaks ignored. A block matches
+a template if it contains at least the share ``CONTAINMENT`` of the template's distinct words. The join is exact and uses three filters:
 words are ordered by their document frequency over all documents, rarest first, and a match must
 share one of the first ``size - needed + 1`` words of the template (prefix); a block with fewer
 template words than needed can't match (length); and the words left behind the first shared one
-bound the overlap (position). Survivors are verified. Only DataFrame functions are used.
+bound the overlap (position). Windows are looked for around each prefix word: the words that any
+window with it can have pass the filters together, then its windows are verified one by one. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,7 +101,10 @@ def _matches(docs: DataFrame, rows: DataFrame, templates, containment: float) ->
     # a row for each prefix word of each template: bounded by the templates
     index = F.broadcast(spark.createDataFrame(prefix, "template int, label string, ranks array<int>, size int, needed int, at int, rank int"))
     rare = sorted({order[x[-1]] for x in prefix})
-    lines = docs.select("doc_id", F.lower("text").alias("lower_")).filter(F.greatest(*[F.col("lower_").contains(w) for w in rare], F.lit(False)))
+    # a text whose letters don't hold enough words of a template has no block that matches it
+    held = lambda ranks: [F.col("lower_").contains(order[r]) for r in ranks]
+    enough = [reduce(or_, held(r[: len(r) - needed(len(r)) + 1])) & (sum((h.cast("int") for h in held(r)), F.lit(0)) >= needed(len(r))) for _, _, r in ranked]
+    lines = docs.select("doc_id", F.lower("text").alias("lower_")).filter(reduce(or_, enough))
     blocks = lines.select("doc_id", F.posexplode(F.split("lower_", "\n")).alias("line", "block")).filter(F.greatest(*[F.col("block").contains(w) for w in rare], F.lit(False)))
     lookup = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
     words = F.array_distinct(F.regexp_extract_all("block", F.lit(WORD), F.lit(0)))
@@ -105,10 +112,26 @@ def _matches(docs: DataFrame, rows: DataFrame, templates, containment: float) ->
     least = min(x[4] for x in prefix)
     met = sets.filter(F.size("has") >= least).select("doc_id", "has", F.posexplode("has").alias("here", "rank")).join(index, "rank")
     able = met.filter((F.size("has") >= F.col("needed")) & (F.least(F.col("size") - F.col("at"), F.size("has") - F.col("here")) + F.least("at", "here") >= F.col("needed")))
-    scored = able.withColumn("share", F.size(F.array_intersect("has", "ranks")) / F.col("size")).filter(F.col("share") >= containment - 1e-9)
+    scored = able.withColumn("share", F.size(F.array_intersect("has", "ranks")) / F.col("size")).select("doc_id", "label", "share")
+    scored = scored.unionByName(_windows(lines, index, lookup, prefix, max(len(t.split()) for _, t in templates))).filter(F.col("share") >= containment - 1e-9)
     return scored.groupBy("doc_id").agg(F.sort_array(F.collect_set("label")).alias("names"), F.max("share").alias("score"))
 
 
+def _windows(lines: DataFrame, index: DataFrame, lookup: Column, prefix: list, length: int) -> DataFrame:
+    """(doc_id, label, share) of windows of length words around prefix words, in texts of several lines."""
+    every = F.transform(F.regexp_extract_all("lower_", F.lit(WORD), F.lit(0)), lambda w: F.coalesce(F.try_element_at(lookup, w), F.lit(-1)))
+    ranked = lines.filter(F.col("lower_").contains("\n")).select("doc_id", every.alias("words_"))
+    places = F.filter(F.sequence(F.lit(0), F.size("words_") - 1), lambda i: F.get("words_", i).isin(sorted({x[-1] for x in prefix})))
+    reach = lambda i: F.slice("words_", F.greatest(i - (length - 2), F.lit(1)), F.least(i, F.lit(length - 1)) + length)
+    around = ranked.select("doc_id", F.explode(F.transform(places, lambda i: F.struct(F.get("words_", i).alias("rank"), reach(i).alias("words")))).alias("s")).select("doc_id", "s.rank", "s.words")
+    sets = around.withColumn("has", F.array_sort(F.array_distinct(F.filter("words", lambda r: r >= 0)))).filter(F.size("has") >= min(x[4] for x in prefix))
+    met = sets.withColumn("here", F.array_position("has", F.col("rank")) - 1).join(index, "rank")
+    able = met.filter((F.size("has") >= F.col("needed")) & (F.least(F.col("size") - F.col("at"), F.size("has") - F.col("here")) + F.least("at", "here") >= F.col("needed")))
+    whole = able.filter(F.size(F.array_intersect("has", "ranks")) >= F.col("needed"))
+    shares = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - length, F.lit(0)) + 1), lambda k: F.size(F.array_intersect(F.slice("words", k, F.lit(length)), F.col("ranks"))))
+    return whole.select("doc_id", "label", (F.array_max(shares) / F.col("size")).alias("share"))
+
+
 def _oracle() -> str:
     rows = ", ".join(f"({k}, '{label}', [{', '.join(repr(w) for w in sorted(set(t.split())))}])" for k, (label, t) in enumerate(TEMPLATES))
     pattern = "'" + WORD + "'"
