@@ -1,13 +1,13 @@
 """Language identification with a bit-sliced Bloom filter over character trigrams.
 
-Slot i of the filter is a mask with a bit for each language, so one probe answers for all
+Slot i of the filter is a mask with a bit for each language, in as many words as it takes, so one probe answers for all
 languages at once: the AND of a trigram's slots is the set of languages that (may) contain it.
 A text's count for a language is the number of its trigrams with that bit; the counts are
 corrected for the filter's false positives, which are known from each language's fill, and the
 largest corrected count decides.
 
-Fitting uses a bounded sample (``SAMPLE_DOCS`` documents per language in expectation, the
-``LANGUAGES`` commonest languages, ``GRAMS`` trigrams each); every text is then scored whole.
+Fitting uses a bounded sample (``SAMPLE_DOCS`` documents per language in expectation,
+``GRAMS`` trigrams each) of every language; every text is then scored whole.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from debuglens.llm.common import ready
 
 #: Expected number of training documents per language; the sample is drawn by a hash of the id.
 SAMPLE_DOCS = 2000
-LANGUAGES = 64
 GRAMS = 20_000
 #: A trigram belongs to a language if it is at least this share as frequent there as anywhere.
 SHARE = 0.5
@@ -60,33 +59,36 @@ class Filter:
     """The bit-sliced filter: slots of language masks."""
 
     def __init__(self, languages: list[str], hashes: list[np.ndarray]):
-        if len(languages) > 64:
-            raise ValueError("a slot has 64 bits")
         self.languages = languages
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * np.dtype(t).itemsize)
-        self.slots = np.zeros(1 << SLOT_BITS, kind)
-        for bit, h in enumerate(hashes):
+        kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(languages) <= 8 * np.dtype(t).itemsize), np.uint64)
+        self.bits = 8 * np.dtype(kind).itemsize
+        #: a row of slots for each word of the masks
+        self.slots = np.zeros((max(1, -(-len(languages) // self.bits)), 1 << SLOT_BITS), kind)
+        for b, h in enumerate(hashes):
             for k in range(HASHES):
-                self.slots[self.slot(h, k)] |= kind(1 << bit)
-        fill = np.array([((self.slots >> kind(b)) & kind(1)).mean() for b in range(len(languages))])
+                self.slots[b // self.bits, self.slot(h, k)] |= kind(1 << b % self.bits)
+        fill = np.array([((self.slots[b // self.bits] >> kind(b % self.bits)) & kind(1)).mean() for b in range(len(languages))])
         self.false = fill**HASHES
 
     @staticmethod
     def slot(h: np.ndarray, k: int) -> np.ndarray:
         return ((h >> np.uint64(k * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        out = self.slots[self.slot(h, 0)]
+    def masks(self, h: np.ndarray, word: int = 0) -> np.ndarray:
+        """One word of each trigram's mask: the languages from word * bits on."""
+        out = self.slots[word][self.slot(h, 0)]
         for k in range(1, HASHES):
-            out = out & self.slots[self.slot(h, k)]
+            out = out & self.slots[word][self.slot(h, k)]
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         h, edge, spoken = grams(texts)
-        masks, n = self.masks(h), np.diff(edge)
+        n = np.diff(edge)
         counts = np.empty((len(texts), len(self.languages)))
         for b in range(len(self.languages)):
-            total = np.r_[0, np.cumsum((masks >> masks.dtype.type(b)) & masks.dtype.type(1), dtype=np.int64)]
+            if b % self.bits == 0:
+                masks = self.masks(h, b // self.bits)
+            total = np.r_[0, np.cumsum((masks >> masks.dtype.type(b % self.bits)) & masks.dtype.type(1), dtype=np.int64)]
             counts[:, b] = total[edge[1:]] - total[edge[:-1]]
         counts = np.maximum(0, (counts - n[:, None] * self.false) / np.maximum(1e-9, 1 - self.false))
         best = counts.argmax(axis=1) if self.languages else np.zeros(len(texts), int)
@@ -129,7 +131,7 @@ def fit(docs: DataFrame, trains: Column) -> Filter:
     """
     ready(docs.sparkSession)
     rows = docs.filter(trains & F.col("lang").isNotNull())
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not common:
         return Filter([], [])
     share = F.element_at(F.create_map(*[F.lit(x) for r in common for x in (r["lang"], min(1.0, SAMPLE_DOCS / r["count"]))]), F.col("lang"))
