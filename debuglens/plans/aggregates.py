@@ -204,8 +204,18 @@ def j04(b: Bridge):
 
 @query("j05", "WITH RECURSIVE r(ty, cur, shift, level) AS (SELECT p_partkey, p_partkey, CAST(0 AS BIGINT), 0 FROM part WHERE p_partkey <= 400 UNION ALL SELECT ty, cur // 2, shift + cur % 16 * 4, level + 1 FROM r WHERE cur // 2 > 0) SELECT ty AS type, CAST(level AS BIGINT) AS level, f AS ord, shift + f * 4 AS \"offset\" FROM r, (VALUES (0), (1), (2)) v(f) WHERE f <= cur % 3")
 def j05(b: Bridge):
+    return _flat_fields(b.table("part").filter("p_partkey <= 400"))
+
+
+@query("j05_whole", "WITH RECURSIVE r(ty, cur, shift, level) AS (SELECT p_partkey, p_partkey, CAST(0 AS BIGINT), 0 FROM part UNION ALL SELECT ty, cur // 2, shift + cur % 16 * 4, level + 1 FROM r WHERE cur // 2 > 0) SELECT ty AS type, CAST(level AS BIGINT) AS level, f AS ord, shift + f * 4 AS \"offset\" FROM r, (VALUES (0), (1), (2)) v(f) WHERE f <= cur % 3")
+def j05_whole(b: Bridge):
+    """Fields of all types, whatever their number."""
+    return _flat_fields(b.table("part"))
+
+
+def _flat_fields(part):
     key = F.col("p_partkey")
-    types = b.table("part").filter("p_partkey <= 400").select(key.alias("type"))
+    types = part.select(key.alias("type"))
     bases = types.filter("type > 1").select("type", F.floor(F.col("type") / 2).cast("long").alias("base"), (F.col("type") % 16 * 4).alias("base_offset"))
     fields = types.select("type", F.explode(F.sequence(F.lit(0), (F.col("type") % 3).cast("int"))).alias("ord")).withColumn("offset", F.col("ord").cast("long") * 4)
     return graph.flat_fields(bases, fields)
