@@ -44,10 +44,23 @@ RANGES = "rg AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 7 = 0 THEN NULL EL
 
 @query("d05", f"WITH {FN}, {RANGES} SELECT s, handle FROM rg JOIN fn ON (low IS NOT NULL OR high IS NOT NULL) AND (low IS NULL OR address >= low) AND (high IS NULL OR address < high)")
 def d05(b: Bridge):
+    return _in_ranges(b, b.table("supplier").filter("s_suppkey % 11 != 0 OR s_suppkey < 50"))
+
+
+WHOLE_RANGES = "rg AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey * 640 END AS low, CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN s_suppkey * 640 - 10 ELSE s_suppkey * 640 + 2000 END AS high FROM supplier)"
+
+
+@query("d05_whole", f"WITH {FN}, {WHOLE_RANGES} SELECT s, handle FROM rg JOIN fn ON (low IS NOT NULL OR high IS NOT NULL) AND (low IS NULL OR address >= low) AND (high IS NULL OR address < high)")
+def d05_whole(b: Bridge):
+    """The ranges of all suppliers, open above or below."""
+    return _in_ranges(b, b.table("supplier"))
+
+
+def _in_ranges(b: Bridge, suppliers):
     s = F.col("s_suppkey")
     low = F.when(s % 7 != 0, s * 640)
     high = F.when(s % 11 == 0, None).when(s % 5 == 0, s * 640 - 10).otherwise(s * 640 + 2000)
-    ranges = b.table("supplier").filter((s % 11 != 0) | (s < 50)).select(s.alias("s"), low.alias("low"), high.alias("high"))
+    ranges = suppliers.select(s.alias("s"), low.alias("low"), high.alias("high"))
     return lookup.in_ranges(ranges, b.functions.select("handle", "address")).select("s", "handle")
 
 

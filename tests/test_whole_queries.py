@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.01"
 #: What only the whole tables have.
 BEYOND = {
     "j05_whole": lambda df: (df["type"] > 400).any(),
+    "d05_whole": lambda df: ((df["s"] % 11 == 0) & (df["s"] >= 50)).any(),
 }
 
 
