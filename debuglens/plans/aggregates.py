@@ -123,8 +123,17 @@ def e15(b: Bridge):
 @query("f01", "WITH x AS (SELECT conv_id AS file, turn, CASE WHEN turn % 3 <> 2 THEN substr(coalesce(text, ''), 1, 40) || chr(92) ELSE substr(coalesce(text, ''), 1, 40) END AS t FROM conversations), y AS (SELECT *, CASE WHEN coalesce(lag(t LIKE '%' || chr(92)) OVER (PARTITION BY file ORDER BY turn), false) THEN 0 ELSE 1 END AS s FROM x), z AS (SELECT *, sum(s) OVER (PARTITION BY file ORDER BY turn) AS seg FROM y) SELECT file, CAST(seg AS BIGINT) AS seg, string_agg(rtrim(t, chr(92)), '' ORDER BY turn) AS text FROM z GROUP BY file, seg")
 def f01(b: Bridge):
     """Strings that end in a backslash go on in the next symbol."""
-    cut = F.substring(F.coalesce("text", F.lit("")), 1, 40)
-    lines = b.table("conversations").select(F.col("conv_id").alias("file"), "turn", F.when(F.col("turn") % 3 != 2, F.concat(cut, F.lit("\\"))).otherwise(cut).alias("t"))
+    return _continued(b, F.substring(F.coalesce("text", F.lit("")), 1, 40))
+
+
+@query("f01_whole", "WITH x AS (SELECT conv_id AS file, turn, CASE WHEN turn % 3 <> 2 THEN coalesce(text, '') || chr(92) ELSE coalesce(text, '') END AS t FROM conversations), y AS (SELECT *, CASE WHEN coalesce(lag(t LIKE '%' || chr(92)) OVER (PARTITION BY file ORDER BY turn), false) THEN 0 ELSE 1 END AS s FROM x), z AS (SELECT *, sum(s) OVER (PARTITION BY file ORDER BY turn) AS seg FROM y) SELECT file, CAST(seg AS BIGINT) AS seg, string_agg(rtrim(t, chr(92)), '' ORDER BY turn) AS text FROM z GROUP BY file, seg")
+def f01_whole(b: Bridge):
+    """Whole turns, however long they are."""
+    return _continued(b, F.coalesce("text", F.lit("")))
+
+
+def _continued(b: Bridge, text):
+    lines = b.table("conversations").select(F.col("conv_id").alias("file"), "turn", F.when(F.col("turn") % 3 != 2, F.concat(text, F.lit("\\"))).otherwise(text).alias("t"))
     return passes.continued(lines, "file", "turn", "t").select("file", F.col("seg").cast("long").alias("seg"), "text")
 
 

@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.01"
 BEYOND = {
     "j05_whole": lambda df: (df["type"] > 400).any(),
     "d05_whole": lambda df: ((df["s"] % 11 == 0) & (df["s"] >= 50)).any(),
+    "f01_whole": lambda df: (df["text"].str.len() > 120).any(),
 }
 
 
