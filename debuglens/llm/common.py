@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from debuglens.session import cut, ready, table
 
-__all__ = ["BROADCAST_ROWS", "attach", "cut", "documents", "parts", "ready", "table", "text_bytes"]
+__all__ = ["BROADCAST_ROWS", "NO_ID", "attach", "cut", "documents", "parts", "ready", "table", "text_bytes", "text_digest"]
+
+#: Stands for a missing doc_id inside operators.
+NO_ID = -(1 << 63)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,11 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"").cast("binary")).alias(name)
 
 
+def text_digest(name: str = "text") -> Column:
+    """A number that tells the rows of one doc_id apart by their text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit("")))
+
+
 #: A counted id table of at most this many numbers (about 16 bytes each) may be broadcast.
 BROADCAST_ROWS = 1_000_000
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from debuglens.llm.common import parts, ready
+from debuglens.llm.common import NO_ID, parts, ready
 
 WINDOW = 7
 MOST, FEWEST = 128, 32
@@ -121,10 +121,6 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-#: Stands for a missing id while documents are in order.
-NO_ID = -(1 << 63)
-
-
 def _dealt(bounds: np.ndarray, last: int):
     """Rows with their range, and again, as extra, in the range that needs them as the next document."""
 

@@ -20,15 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from debuglens.llm.common import cut, ready, text_bytes
+from debuglens.llm.common import NO_ID, cut, ready, text_bytes, text_digest
 
 #: The modulus: 2**120 - 119, a prime, so a fingerprint fits two longs.
 MODULUS = 2**120 - 119
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 CHUNK = 32 * 1024
 SALT_ROWS = 512
-#: Members of groups up to this many are a broadcast side of at most 16 MB.
+#: Members of groups up to this many are a broadcast side of at most 40 MB, and so are the rows of this many groups.
 BROADCAST_ROWS = 1_000_000
+GROUPS = 250_000
 
 
 def combine(left: int, right: int, right_length: int, modulus: int = MODULUS) -> int:
@@ -44,32 +45,36 @@ def fingerprint(data: bytes, modulus: int = MODULUS, chunk: int = CHUNK) -> int:
     return value
 
 
+ROW = ["member", "digest"]
+
+
 def _fingerprints(modulus: int, chunk: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_points", pa.int64()), ("fp_hi", pa.int64()), ("fp_lo", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_points", pa.int64()), ("fp_hi", pa.int64()), ("fp_lo", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string())])
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc_id, n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            found = []
+            for text in batch.column(3):
                 data = text.as_buffer().to_pybytes().translate(None, WHITE)
                 value = fingerprint(data, modulus, chunk)
-                rows.append((doc_id, n, value >> 60, value & (1 << 60) - 1, len(data), hashlib.sha256(data).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+                found.append((value >> 60, value & (1 << 60) - 1, len(data), hashlib.sha256(data).hexdigest()))
+            made = zip(*found) if found else ((),) * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, f.type) for c, f in zip(made, list(schema)[3:]))], schema=schema)
 
     return run
 
 
 def _chunks(chunk: int):
-    schema = pa.schema([("member", pa.int64()), ("best", pa.int64()), ("salt", pa.int64()), ("at", pa.int64()), ("part", pa.binary())])
+    schema = pa.schema([("member", pa.int64()), ("digest", pa.int64()), ("best", pa.int64()), ("best_digest", pa.int64()), ("salt", pa.int64()), ("at", pa.int64()), ("part", pa.binary())])
 
     def run(batches):
         for batch in batches:
             rows, held = [], 0
-            for member, best, salt, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            for *ids, text in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5)):
                 data = text.as_buffer().to_pybytes().translate(None, WHITE)
                 for at in range(0, len(data), chunk):
-                    rows.append((member, best, salt, at, data[at : at + chunk]))
-                    held += len(rows[-1][4])
+                    rows.append((*ids, at, data[at : at + chunk]))
+                    held += len(rows[-1][-1])
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                         rows, held = [], 0
@@ -82,66 +87,96 @@ def _chunks(chunk: int):
 def exact_groups(docs: DataFrame, modulus: int = MODULUS, chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of equal texts the one with the most code points stays, then the smallest doc_id. A null
-    text counts as empty, and empty texts are equal. Rows that repeat a doc_id are rows of
-    their own: ``group_size`` counts them all, and each has the same ``keep_id``. An empty
-    table gives an empty result; other columns of the table are not read.
+    Of equal texts the one with the most code points stays, then the smallest doc_id, a row
+    without doc_id last. A null text counts as empty, and empty texts are equal. Rows that repeat
+    a doc_id are rows of their own, each with the group of its own text: ``group_size`` counts
+    them all, and ``kept`` holds for each row that ties with the one that stays in both code
+    points and doc_id. An empty table gives an empty result; other columns are not read.
     """
+    return exact_rows(docs, modulus, chunk).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def exact_rows(docs: DataFrame, modulus: int = MODULUS, chunk: int = CHUNK) -> DataFrame:
+    """exact_groups() with digest, which tells rows of one doc_id apart."""
     ready(docs.sparkSession)
-    texts = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_points"), text_bytes())
-    slim = cut(texts.mapInArrow(_fingerprints(modulus, chunk), "doc_id long, n_points long, fp_hi long, fp_lo long, n_bytes long, text_sha256 string"))
+    texts = docs.select("doc_id", text_digest().alias("digest"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_points"), text_bytes())
+    slim = texts.mapInArrow(_fingerprints(modulus, chunk), "doc_id long, digest long, n_points long, fp_hi long, fp_lo long, n_bytes long, text_sha256 string")
+    slim = cut(slim.withColumn("member", F.coalesce("doc_id", F.lit(NO_ID))))
     key = ["fp_hi", "fp_lo", "n_bytes"]
-    order = F.struct((-F.col("n_points")).alias("p"), "doc_id")
-    groups = slim.groupBy(key).agg(F.min(order).alias("first"), F.count("*").alias("rows")).filter("rows > 1").select(*key, F.col("first.doc_id").alias("best"), "rows")
-    joined = slim.join(groups, key, "left")
-    candidate = joined.select("doc_id", "n_points", *key, "text_sha256", F.coalesce("best", "doc_id").alias("keep_id"), F.coalesce("rows", F.lit(1)).alias("group_size"))
-    pending = joined.filter(F.col("best").isNotNull() & (F.col("best") != F.col("doc_id"))).select("doc_id", "n_points", *key, "best", "rows")
-    differing = _differing(docs, pending, chunk)
+    groups = cut(_firsts(slim, key).filter("rows > 1"))
+    small = groups.limit(GROUPS + 1).count() <= GROUPS
+    joined = slim.join(F.broadcast(groups) if small else groups, key, "left")
+    differing = _differing(docs, joined.filter(_apart()), chunk, _repeats(slim))
     if differing.isEmpty():
-        return candidate.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
-    return _resolved(docs, slim, candidate, differing, key, chunk)
+        own = F.col("rows").isNull()
+        kept = own | ((F.col("member") == F.col("best")) & (F.col("n_points") == F.col("best_points")))
+        return joined.select("doc_id", "digest", F.when(own, F.col("doc_id")).otherwise(_named("best")).alias("keep_id"), F.coalesce("rows", F.lit(1)).alias("group_size"), kept.alias("kept"), "text_sha256")
+    return _resolved(docs, slim, joined, differing, key, chunk)
+
+
+def _named(column: str):
+    return F.nullif(column, F.lit(NO_ID))
+
+
+def _apart():
+    """Whether a row isn't the very row that stays, or a repetition of it."""
+    return F.col("best").isNotNull() & ~((F.col("best") == F.col("member")) & (F.col("best_digest") == F.col("digest")))
+
+
+def _firsts(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, best, best_digest, best_points, rows) of each group."""
+    order = F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("none"), "member", "digest")
+    groups = rows.groupBy(key).agg(F.min(order).alias("first"), F.count("*").alias("rows"))
+    return groups.select(*key, F.col("first.member").alias("best"), F.col("first.digest").alias("best_digest"), (-F.col("first.p")).alias("best_points"), "rows")
+
+
+def _repeats(slim: DataFrame) -> bool:
+    """Whether a doc_id and text occur in several rows."""
+    return not slim.groupBy(ROW).count().filter("count > 1").isEmpty()
 
 
-def _differing(docs: DataFrame, pending: DataFrame, chunk: int) -> DataFrame:
-    """The doc_ids among pending whose text differs from that of their best, compared in chunks."""
+def _differing(docs: DataFrame, pending: DataFrame, chunk: int, repeats: bool) -> DataFrame:
+    """(member, digest) of the rows among pending whose text differs from that of their best, compared in chunks."""
     salts = F.ceil(F.col("rows") / F.lit(SALT_ROWS)).cast("long")
-    members = pending.select(F.col("doc_id").alias("member"), "best", F.pmod(F.xxhash64("doc_id"), salts).alias("salt")).distinct()
-    bests = pending.groupBy("best").agg(F.max(salts).alias("n")).select(F.col("best").alias("member"), "best", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("salt"))
+    best = ["best", "best_digest"]
+    members = pending.select(*ROW, *best, F.pmod(F.xxhash64(*ROW), salts).alias("salt")).distinct()
+    spread = pending.groupBy(best).agg(F.max(salts).alias("n"))
+    bests = spread.select(F.col("best").alias("member"), F.col("best_digest").alias("digest"), *best, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("salt"))
 
     def chunked(ids: DataFrame) -> DataFrame:
-        return _with_text(docs, ids).mapInArrow(_chunks(chunk), "member long, best long, salt long, at long, part binary")
+        return _with_text(docs, ids).mapInArrow(_chunks(chunk), "member long, digest long, best long, best_digest long, salt long, at long, part binary")
 
-    left = chunked(members)
-    right = chunked(bests).select("best", "salt", "at", F.col("part").alias("other"))
-    return cut(left.join(right, ["best", "salt", "at"], "left").filter(~F.col("part").eqNullSafe(F.col("other"))).select(F.col("member").alias("doc_id"), "best").distinct())
+    right = chunked(bests).select(*best, "salt", "at", F.col("part").alias("other"))
+    if repeats:
+        right = right.dropDuplicates([*best, "salt", "at"])
+    compared = chunked(members).join(right, [*best, "salt", "at"], "left")
+    return cut(compared.filter(~F.col("part").eqNullSafe(F.col("other"))).select(*ROW).distinct())
 
 
 def _with_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(member, best, salt, text); the id side is broadcast only if its counted rows fit a bound."""
+    """(member, digest, best, best_digest, salt, text); the id side is broadcast only if its counted rows fit a bound."""
     ids = cut(ids)
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     side = F.broadcast(ids) if small else ids
-    return docs.select(F.col("doc_id").alias("member"), text_bytes()).join(side, "member").select("member", "best", "salt", "text")
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("member"), text_digest().alias("digest"), text_bytes())
+    return rows.join(side, ROW).select(*ROW, "best", "best_digest", "salt", "text")
 
 
-def _resolved(docs: DataFrame, slim: DataFrame, candidate: DataFrame, differing: DataFrame, key: list[str], chunk: int) -> DataFrame:
+def _resolved(docs: DataFrame, slim: DataFrame, joined: DataFrame, differing: DataFrame, key: list[str], chunk: int) -> DataFrame:
     """Groups again, without their best, the members that differ from it, until no member differs."""
-    settled = None
-    rest = slim.join(differing.select("doc_id"), "doc_id", "left_semi")
-    out = candidate.join(differing.select("doc_id"), "doc_id", "left_anti").select("doc_id", "keep_id", "text_sha256")
+    columns = ["doc_id", *ROW, "n_points", "text_sha256", F.coalesce("best", "member").alias("best"), F.coalesce("best_points", "n_points").alias("best_points")]
+    settled, rest = joined.join(differing, ROW, "left_anti").select(columns), slim.join(differing, ROW, "left_semi")
+    repeats = _repeats(slim)
     while True:
-        order = F.struct((-F.col("n_points")).alias("p"), "doc_id")
-        groups = rest.groupBy(key).agg(F.min(order).alias("first"), F.count("*").alias("rows")).select(*key, F.col("first.doc_id").alias("best"), "rows")
-        joined = cut(rest.join(groups, key))
-        different = _differing(docs, joined.filter("best != doc_id"), chunk)
-        agreed = joined.join(different.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("best").alias("keep_id"), "text_sha256")
-        settled = cut(agreed if settled is None else settled.unionByName(agreed))
+        again = cut(rest.join(_firsts(rest, key), key))
+        different = _differing(docs, again.filter(_apart()), chunk, repeats)
+        settled = cut(settled.unionByName(again.join(different, ROW, "left_anti").select(columns)))
         if different.isEmpty():
             break
-        rest = cut(slim.join(different.select("doc_id"), "doc_id", "left_semi"))
-    out = out.unionByName(settled)
-    sizes = out.groupBy("keep_id").agg(F.count("*").alias("group_size"))
-    return out.join(sizes, "keep_id").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+        rest = cut(slim.join(different, ROW, "left_semi"))
+    sizes = settled.groupBy("text_sha256").agg(F.count("*").alias("group_size"))
+    kept = (F.col("member") == F.col("best")) & (F.col("n_points") == F.col("best_points"))
+    return settled.join(sizes, "text_sha256").select("doc_id", "digest", _named("best").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
 
 
 ORACLE = r"""
