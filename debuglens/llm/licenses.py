@@ -13,6 +13,7 @@ window with it can have pass the filters together, then its windows are verified
 from __future__ import annotations
 
 import math
+import string
 from functools import reduce
 from operator import or_
 
@@ -40,6 +41,12 @@ TEMPLATES = (
 )
 
 
+#: ASCII signs that are no letter or digit become spaces, A-Z become a-z.
+_SIGNS = [chr(c) for c in range(128) if not chr(c).isalnum()]
+_FROM = "".join(_SIGNS) + string.ascii_uppercase
+_TO = " " * len(_SIGNS) + string.ascii_lowercase
+
+
 def _places(words: Column, phrase: str) -> Column:
     """Starts of the phrase, found at its last word."""
     parts = phrase.split()
@@ -54,26 +61,42 @@ def _places(words: Column, phrase: str) -> Column:
     return F.transform(F.filter(last, stands), lambda i: i - (len(parts) - 1))
 
 
+def _folded(name: str = "text") -> Column:
+    """The text with A-Z in lower case and every ASCII sign that is no letter or digit as a space; null is empty."""
+    return F.translate(F.coalesce(name, F.lit("")), _FROM, _TO)
+
+
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, " "), "")
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Words are those of the lower-cased whole text. ``n_base`` counts all places of the phrases;
-    ``score`` is the greatest containment of a template in a block that matches, 0 without a
-    match. A null text counts as empty; a text without words has no places and empty labels.
-    Repeated rows each have their row with the same values; an empty table gives an empty result.
+    Words are those of the whole text with A-Z in lower case; other letters stay as they are.
+    ``n_base`` counts all places of the phrases; ``score`` is the greatest containment of a
+    template in a block that matches, 0 without a match. A null text counts as empty; a text
+    without words has no places and empty labels. Every row has values of its own, also rows
+    that repeat a doc_id or have none; labels are distinct and sorted, so ties have no order. An
+    empty table gives an empty result, and columns other than doc_id and text are not read.
     """
     vocabulary = sorted({w for _, t in templates for w in t.split()})
-    words = F.regexp_extract_all("lower_", F.lit(WORD), F.lit(0))
     empty = F.array().cast("array<int>")
-    base = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("lower_")).select("doc_id", "lower_", words.alias("words_"))
+    base = docs.select("doc_id", F.col("text").alias("text_"), _folded().alias("folded_")).select("doc_id", "text_", "folded_", _split(F.col("folded_")).alias("words_"))
     last_words = sorted({p.split()[-1] for p, _ in PHRASES})
-    likely = F.greatest(*[F.col("lower_").contains(w) for w in last_words], F.lit(False)) & (F.size("words_") > 0)
+    likely = reduce(or_, [F.col("folded_").contains(w) for w in last_words])
     columns = [F.when(likely, _places(F.col("words_"), p)).otherwise(empty).alias(f"at{k}") for k, (p, _) in enumerate(PHRASES)]
-    rows = cut(base.select("doc_id", F.size("words_").cast("long").alias("n_words"), F.array_intersect("words_", F.array(*map(F.lit, vocabulary))).alias("shared"), *columns))
+    shared = F.array_intersect("words_", F.array(*map(F.lit, vocabulary)))
+    slim = base.select("doc_id", "text_", F.size("words_").cast("long").alias("n_words"), shared.alias("shared"), *columns)
+    # a text that doesn't have enough words of any template holds no block that matches one
+    sets = [sorted(set(t.split())) for _, t in templates]
+    enough = reduce(or_, [F.size(F.array_intersect("shared", F.array(*map(F.lit, t)))) >= _needed(len(t), containment) for t in sets])
+    able = (F.size("shared") >= min(_needed(len(t), containment) for t in sets)) & enough
+    rows = cut(slim.select("doc_id", F.monotonically_increasing_id().alias("row_"), "n_words", "shared", *[f"at{k}" for k in range(len(PHRASES))], F.when(able, F.col("text_")).alias("text_")))
     places = F.concat(*[f"at{k}" for k in range(len(PHRASES))])
     labels = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(f"at{k}") > 0, F.lit(name)) for k, (_, name) in enumerate(PHRASES)]), lambda x: x.isNotNull())))
-    found = _matches(docs, rows, templates, containment)
-    joined = rows.select("doc_id", "n_words", places.alias("places"), labels.alias("base")).join(found, "doc_id", "left")
+    found = _matches(rows, templates, containment)
+    joined = rows.select("row_", "doc_id", "n_words", places.alias("places"), labels.alias("base")).join(found, "row_", "left")
     return joined.select(
         "doc_id",
         "n_words",
@@ -86,50 +109,50 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
     )
 
 
-def _matches(docs: DataFrame, rows: DataFrame, templates, containment: float) -> DataFrame:
-    """(doc_id, names, score) of the documents with a block that matches a template.
+def _needed(size: int, containment: float) -> int:
+    return math.ceil(containment * size - 1e-9)
+
+
+def _matches(rows: DataFrame, templates, containment: float) -> DataFrame:
+    """(row_, names, score) of the rows with a block that matches a template.
 
     The template words, fewer than 200 whatever the input is, are ranked by document frequency.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     counted = {r["w"]: r["n"] for r in rows.select(F.explode("shared").alias("w")).groupBy("w").count().withColumnRenamed("count", "n").collect()}
     order = sorted({w for _, t in templates for w in t.split()}, key=lambda w: (counted.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     ranked = [(k, label, sorted({rank[w] for w in t.split()})) for k, (label, t) in enumerate(templates)]
-    needed = lambda size: math.ceil(containment * size - 1e-9)
-    prefix = [(k, label, r, len(r), needed(len(r)), p, r[p]) for k, label, r in ranked for p in range(len(r) - needed(len(r)) + 1)]
+    prefix = [(k, label, r, len(r), n, p, r[p]) for k, label, r in ranked for n in (_needed(len(r), containment),) for p in range(len(r) - n + 1)]
     # a row for each prefix word of each template: bounded by the templates
     index = F.broadcast(spark.createDataFrame(prefix, "template int, label string, ranks array<int>, size int, needed int, at int, rank int"))
     rare = sorted({order[x[-1]] for x in prefix})
-    # a text whose letters don't hold enough words of a template has no block that matches it
-    held = lambda ranks: [F.col("lower_").contains(order[r]) for r in ranks]
-    enough = [reduce(or_, held(r[: len(r) - needed(len(r)) + 1])) & (sum((h.cast("int") for h in held(r)), F.lit(0)) >= needed(len(r))) for _, _, r in ranked]
-    lines = docs.select("doc_id", F.lower("text").alias("lower_")).filter(reduce(or_, enough))
-    blocks = lines.select("doc_id", F.posexplode(F.split("lower_", "\n")).alias("line", "block")).filter(F.greatest(*[F.col("block").contains(w) for w in rare], F.lit(False)))
     lookup = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
-    words = F.array_distinct(F.regexp_extract_all("block", F.lit(WORD), F.lit(0)))
-    sets = blocks.select("doc_id", F.array_sort(F.filter(F.transform(words, lambda w: F.try_element_at(lookup, w)), lambda r: r.isNotNull())).alias("has"))
+    texts = rows.filter("text_ IS NOT NULL").select("row_", "text_")
+    # a block is looked at word by word only if it has a rare word's letters
+    blocks = texts.select("row_", F.explode(F.split("text_", "\n")).alias("line")).select("row_", _folded("line").alias("block")).filter(F.greatest(*[F.col("block").contains(w) for w in rare], F.lit(False)))
+    sets = blocks.select("row_", F.array_sort(F.filter(F.transform(F.array_distinct(_split(F.col("block"))), lambda w: F.try_element_at(lookup, w)), lambda r: r.isNotNull())).alias("has"))
     least = min(x[4] for x in prefix)
-    met = sets.filter(F.size("has") >= least).select("doc_id", "has", F.posexplode("has").alias("here", "rank")).join(index, "rank")
+    met = sets.filter(F.size("has") >= least).select("row_", "has", F.posexplode("has").alias("here", "rank")).join(index, "rank")
     able = met.filter((F.size("has") >= F.col("needed")) & (F.least(F.col("size") - F.col("at"), F.size("has") - F.col("here")) + F.least("at", "here") >= F.col("needed")))
-    scored = able.withColumn("share", F.size(F.array_intersect("has", "ranks")) / F.col("size")).select("doc_id", "label", "share")
-    scored = scored.unionByName(_windows(lines, index, lookup, prefix, max(len(t.split()) for _, t in templates))).filter(F.col("share") >= containment - 1e-9)
-    return scored.groupBy("doc_id").agg(F.sort_array(F.collect_set("label")).alias("names"), F.max("share").alias("score"))
+    scored = able.withColumn("share", F.size(F.array_intersect("has", "ranks")) / F.col("size")).select("row_", "label", "share")
+    scored = scored.unionByName(_windows(texts, index, lookup, prefix, max(len(t.split()) for _, t in templates))).filter(F.col("share") >= containment - 1e-9)
+    return scored.groupBy("row_").agg(F.sort_array(F.collect_set("label")).alias("names"), F.max("share").alias("score"))
 
 
-def _windows(lines: DataFrame, index: DataFrame, lookup: Column, prefix: list, length: int) -> DataFrame:
-    """(doc_id, label, share) of windows of length words around prefix words, in texts of several lines."""
-    every = F.transform(F.regexp_extract_all("lower_", F.lit(WORD), F.lit(0)), lambda w: F.coalesce(F.try_element_at(lookup, w), F.lit(-1)))
-    ranked = lines.filter(F.col("lower_").contains("\n")).select("doc_id", every.alias("words_"))
+def _windows(texts: DataFrame, index: DataFrame, lookup: Column, prefix: list, length: int) -> DataFrame:
+    """(row_, label, share) of windows of length words around prefix words, in texts of several lines."""
+    every = F.transform(_split(_folded("text_")), lambda w: F.coalesce(F.try_element_at(lookup, w), F.lit(-1)))
+    ranked = texts.filter(F.col("text_").contains("\n")).select("row_", every.alias("words_"))
     places = F.filter(F.sequence(F.lit(0), F.size("words_") - 1), lambda i: F.get("words_", i).isin(sorted({x[-1] for x in prefix})))
     reach = lambda i: F.slice("words_", F.greatest(i - (length - 2), F.lit(1)), F.least(i, F.lit(length - 1)) + length)
-    around = ranked.select("doc_id", F.explode(F.transform(places, lambda i: F.struct(F.get("words_", i).alias("rank"), reach(i).alias("words")))).alias("s")).select("doc_id", "s.rank", "s.words")
+    around = ranked.select("row_", F.explode(F.transform(places, lambda i: F.struct(F.get("words_", i).alias("rank"), reach(i).alias("words")))).alias("s")).select("row_", "s.rank", "s.words")
     sets = around.withColumn("has", F.array_sort(F.array_distinct(F.filter("words", lambda r: r >= 0)))).filter(F.size("has") >= min(x[4] for x in prefix))
     met = sets.withColumn("here", F.array_position("has", F.col("rank")) - 1).join(index, "rank")
     able = met.filter((F.size("has") >= F.col("needed")) & (F.least(F.col("size") - F.col("at"), F.size("has") - F.col("here")) + F.least("at", "here") >= F.col("needed")))
     whole = able.filter(F.size(F.array_intersect("has", "ranks")) >= F.col("needed"))
     shares = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - length, F.lit(0)) + 1), lambda k: F.size(F.array_intersect(F.slice("words", k, F.lit(length)), F.col("ranks"))))
-    return whole.select("doc_id", "label", (F.array_max(shares) / F.col("size")).alias("share"))
+    return whole.select("row_", "label", (F.array_max(shares) / F.col("size")).alias("share"))
 
 
 def _oracle() -> str:

@@ -27,3 +27,21 @@ def test_exact_groups_of_repeated_and_missing_ids(spark, modulus):
         best = min(groups[key], key=lambda x: (x[0], x[1], x[2] or 0))
         want.append((d, best[2], len(groups[key]), (-len(t or ""), d) == (best[0], best[2]), hashlib.sha256(key.encode()).hexdigest()))
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+
+
+def test_license_rows_keep_their_own_values(spark):
+    from debuglens.llm import licenses
+
+    rows = [(5, "released under the MIT License"), (5, "nothing of note"), (None, "All rights reserved"), (None, None), (None, "apache license"), (5, "nothing of note")]
+    got = licenses.scan(documents(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["base_labels"], r["labels"], round(r["score"], 3)) for r in got) == [("5", "", "", 0.0), ("5", "", "", 0.0), ("5", "mit", "mit", 1.0), ("None", "", "", 0.0), ("None", "", "reserved", 1.0), ("None", "apache", "apache", 0.0)]
+
+
+def test_only_ascii_letters_are_lower_cased(spark):
+    from debuglens.llm import licenses
+
+    rows = [(1, "this worK is licensed under a creative commons attribution license"), (2, "MİT license ÉA MIT LICENSE"), (3, "MIT\x00LICENSE")]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, rows)).collect()}
+    assert got[1]["score"] == pytest.approx(0.9) and got[1]["labels"] == "cc"
+    assert (got[2]["n_words"], got[2]["n_base"], got[2]["first_word"]) == (5, 1, 3)
+    assert (got[3]["n_words"], got[3]["base_labels"]) == (2, "mit")
