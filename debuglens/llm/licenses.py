@@ -2,12 +2,17 @@
 
 Blocks are the lines of a text and, so that wrapped notices are found, all windows of as many
 words as the longest template has, over the whole text with line breaks ignored. A block matches
-a template if it contains at least the share ``CONTAINMENT`` of the template's distinct words. The join is exact and uses three filters:
-words are ordered by their document frequency over all documents, rarest first, and a match must
-share one of the first ``size - needed + 1`` words of the template (prefix); a block with fewer
-template words than needed can't match (length); and the words left behind the first shared one
-bound the overlap (position). Windows are looked for around each prefix word: the words that any
-window with it can have pass the filters together, then its windows are verified one by one. Only DataFrame functions are used.
+a template if it contains at least the share ``CONTAINMENT`` of the template's distinct words.
+The join is exact and uses three filters: words are ordered by their document frequency over all
+documents, rarest first, and a match must share one of the first ``size - needed + 1`` words of
+the template (prefix); a block with fewer template words than needed can't match (length); and
+the words left behind the first shared one bound the overlap (position). Windows are looked for
+around each prefix word: the words that any window with it can have pass the filters together,
+then its windows are verified one by one.
+
+One pass over the texts makes the words, the places of the phrases and the template words that a
+text has; only texts with enough words of some template are kept for the join. Only DataFrame
+functions are used.
 """
 
 from __future__ import annotations
@@ -165,7 +170,7 @@ def _oracle() -> str:
 
     ats = [places(p) for p, _ in PHRASES]
     return rf"""
-WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, regexp_extract_all(lower(coalesce(text, '')), {pattern}) AS w FROM documents),
+WITH d AS (SELECT doc_id, t, regexp_extract_all(t, {pattern}) AS w FROM (SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS t FROM documents) x),
 p AS (SELECT doc_id, len(w) AS n, {ats[0]} AS a0, {ats[1]} AS a1, {ats[2]} AS a2 FROM d),
 b AS (SELECT doc_id, n, list_concat(list_concat(a0, a1), a2) AS places, len(a0) AS c0, len(a1) AS c1, len(a2) AS c2 FROM p),
 tpl(k, label, words) AS (VALUES {rows}),
