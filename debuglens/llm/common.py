@@ -40,19 +40,28 @@ BROADCAST_ROWS = 1_000_000
 SLOTS = 1 << 27
 
 
-def sieved(docs: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """docs with maybe_, true for each row whose id is in ids and for few others.
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def sieved(docs: DataFrame, ids: DataFrame, on: str, mark: str) -> DataFrame:
+    """docs with the column mark, true for each row whose id is in ids and for few others.
 
     Ids are hashed into a bitmap of fixed size, kept in rows of 4 KB and broadcast: its bound
     doesn't depend on the number of ids. With more ids than slots it lets all rows through.
     """
+    bucket, bit, bitmap = (fresh(docs, n) for n in ("bucket_", "bit_", "map_"))
     slot = F.pmod(F.xxhash64(on, F.lit("sieve")), F.lit(SLOTS))
-    bits = ids.select(F.shiftright(slot, 15).alias("bucket_"), slot.bitwiseAND(F.lit(32767)).alias("bit_"))
-    maps = bits.groupBy("bucket_").agg(F.bitmap_construct_agg("bit_").alias("map_"))
-    placed = docs.withColumn("bucket_", F.shiftright(slot, 15)).withColumn("bit_", slot.bitwiseAND(F.lit(32767)).cast("int"))
-    byte = F.conv(F.hex(F.substring("map_", F.shiftright("bit_", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    test = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("bit_").bitwiseAND(F.lit(7)))) != 0
-    return placed.join(F.broadcast(maps), "bucket_", "left").withColumn("maybe_", F.coalesce(test, F.lit(False))).drop("bucket_", "bit_", "map_")
+    bits = ids.select(F.shiftright(slot, 15).alias(bucket), slot.bitwiseAND(F.lit(32767)).alias(bit))
+    maps = bits.groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias(bitmap))
+    placed = docs.withColumn(bucket, F.shiftright(slot, 15)).withColumn(bit, slot.bitwiseAND(F.lit(32767)).cast("int"))
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    test = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col(bit).bitwiseAND(F.lit(7)))) != 0
+    return placed.join(F.broadcast(maps), bucket, "left").withColumn(mark, F.coalesce(test, F.lit(False))).drop(bucket, bit, bitmap)
 
 
 def attach(docs: DataFrame, ids: DataFrame, on: str, how: str = "inner", weight: Column | None = None, small: bool = True) -> DataFrame:
@@ -65,8 +74,36 @@ def attach(docs: DataFrame, ids: DataFrame, on: str, how: str = "inner", weight:
     ids = cut(ids)
     if small and (ids.agg(F.sum(F.lit(1) if weight is None else weight + 1)).first()[0] or 0) <= BROADCAST_ROWS:
         return docs.join(F.broadcast(ids), on, how)
-    told = sieved(docs, ids, on)
-    met = told.filter("maybe_").drop("maybe_").join(ids.hint("merge"), on, how)
+    mark = fresh(docs, "maybe_")
+    told = sieved(docs, ids, on, mark)
+    met = told.filter(F.col(mark)).drop(mark).join(ids.hint("merge"), on, how)
     if how == "inner":
         return met
-    return met.unionByName(told.filter("NOT maybe_").drop("maybe_"), allowMissingColumns=True)
+    return met.unionByName(told.filter(~F.col(mark)).drop(mark), allowMissingColumns=True)
+
+
+def by_row(docs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """docs joined with rows (doc_id, digest, ...) by doc_id, null or not, and text."""
+    key, text = fresh(docs, "row_id_"), fresh(docs, "row_digest_")
+    sought = rows.withColumn(key, F.coalesce("doc_id", F.lit(NO_ID))).withColumnRenamed("digest", text).drop("doc_id")
+    marked = docs.withColumn(key, F.coalesce("doc_id", F.lit(NO_ID))).withColumn(text, text_digest())
+    return marked.join(sought, [key, text], how).drop(key, text)
+
+
+def plain_ids(rows: DataFrame) -> bool:
+    """Whether each row has a doc_id and no other row has the same."""
+    return rows.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows that rows (doc_id, digest, kept) doesn't keep; of rows that repeat a doc_id and a text, one stays.
+
+    Where doc_ids are unique only the dropped ones are joined; otherwise rows are told apart by
+    their texts too.
+    """
+    rows = cut(rows.select("doc_id", "digest", "kept"))
+    if plain_ids(rows):
+        return attach(docs, rows.filter("NOT kept").select("doc_id"), "doc_id", "left_anti")
+    key, text = fresh(docs, "one_id_"), fresh(docs, "one_digest_")
+    stay = by_row(docs, rows.filter("kept").select("doc_id", "digest").distinct())
+    return stay.withColumn(key, F.col("doc_id")).withColumn(text, text_digest()).dropDuplicates([key, text]).select(*docs.columns)

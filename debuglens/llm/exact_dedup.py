@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from debuglens.llm.common import NO_ID, cut, ready, text_bytes, text_digest
+from debuglens.llm.common import NO_ID, cut, one_of_each, ready, text_bytes, text_digest
 
 #: The modulus: 2**120 - 119, a prime, so a fingerprint fits two longs.
 MODULUS = 2**120 - 119
@@ -179,6 +179,17 @@ def _resolved(docs: DataFrame, slim: DataFrame, joined: DataFrame, differing: Da
     return settled.join(sizes, "text_sha256").select("doc_id", "digest", _named("best").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
 
 
+def survivors(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of equal texts, the one that exact_groups() keeps; ties go to the smallest digest."""
+    rows = cut(exact_rows(docs).select("doc_id", "digest", "kept", "text_sha256"))
+    tied = rows.filter("kept").groupBy("doc_id", "text_sha256").agg(F.min("digest").alias("digest"), F.count_distinct("digest").alias("n")).filter("n > 1")
+    if not tied.isEmpty():
+        best = rows.filter("kept").groupBy("doc_id", "text_sha256").agg(F.min("digest").alias("least"))
+        told = rows.join(best.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("of"), F.col("text_sha256").alias("sha"), "least"), (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("of")) & (F.col("text_sha256") == F.col("sha")), "left")
+        rows = told.select("doc_id", "digest", (F.col("kept") & (F.col("digest") == F.col("least"))).alias("kept"))
+    return one_of_each(docs, rows)
+
+
 ORACLE = r"""
 WITH n AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents

@@ -14,10 +14,10 @@ bucket), so a source with a third of all rows is spread over all tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from debuglens.llm.common import attach, cut
+from debuglens.llm.common import attach, by_row, cut, fresh, plain_ids, text_digest
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -47,17 +47,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET) -> DataFr
     return leveled.withColumn("water", water).select("source_key", "source_size", F.coalesce(F.least(F.col("cap"), F.col("water") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def shares(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET) -> DataFrame:
-    """One row per document in mix order: doc_id, size, source_size, target, taken, and the virtual times.
-
-    ``size`` is the number of words, 0 for a null text; documents of size 0 are taken 0 times. A
-    null source is a source of its own. Ties in the shuffled order go by doc_id, and rows that
-    repeat a doc_id queue one after the other. An empty table gives an empty result.
-    """
+def _queued(docs: DataFrame, weights, budget: float) -> DataFrame:
+    """A row per document with the words that its source has queued before it: doc_id, digest, size, source_size, target, start."""
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
     sized = cut(
         docs.select(
             "doc_id",
+            text_digest().alias("digest"),
             F.col("source").cast("string").alias("source"),
             key.alias("source_key"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -68,25 +64,49 @@ def shares(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET) -> DataFram
     aims = targets(buckets.groupBy("source_key", "source").agg(F.sum("words").alias("source_size")), weights, budget)
     earlier = F.coalesce(F.sum("words").over(Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = buckets.select("source_key", "bucket", earlier.alias("before")).join(aims, "source_key")
-    queue = Window.partitionBy("source_key", "bucket").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    queue = Window.partitionBy("source_key", "bucket").orderBy("turn", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.col("before") + F.sum("size").over(queue) - F.col("size")
-    served = sized.join(offsets, ["source_key", "bucket"]).withColumn("start", start)
-    aim = F.floor(F.col("target") + 0.5)
-    take = lambda at: F.greatest(F.lit(0), F.least(F.col("size"), aim - at))
-    taken = sum((take(F.col("start") + F.col("source_size") * k) for k in range(1, REPEATS)), take(F.col("start")))
-    times = served.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.try_divide(F.col("start"), "target").alias("virtual_start"), F.try_divide(F.col("start") + F.col("size"), "target").alias("virtual_finish"))
-    return times.repartitionByRange(F.col("virtual_finish"), F.col("doc_id")).sortWithinPartitions("virtual_finish", "doc_id")
+    return sized.join(offsets, ["source_key", "bucket"]).withColumn("start", start).select("doc_id", "digest", "size", "source_size", "target", "start")
+
+
+def _words(lap: int) -> Column:
+    """The words of a document that the mix takes in a lap of its source's queue: those served before the virtual clock reads 1."""
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") + 0.5) - F.col("start") - F.col("source_size") * lap)).cast("long")
+
+
+def shares(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, and the virtual times of its first lap.
+
+    ``size`` is the number of words, 0 for a null text; documents of size 0 are taken 0 times. A
+    null source is a source of its own. Ties in the shuffled order, which are rows that repeat a
+    doc_id or have none, go by size and text; each has a row of its own. An empty table gives an
+    empty result; columns other than doc_id, text and source are not read.
+    """
+    taken = sum((_words(lap) for lap in range(1, REPEATS)), _words(0))
+    return _queued(docs, weights, budget).select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.try_divide(F.col("start"), "target").alias("virtual_start"), F.try_divide(F.col("start") + F.col("size"), "target").alias("virtual_finish"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of docs: a document as often as the mix takes it.
+def mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET) -> DataFrame:
+    """The mix itself, with the columns of docs, in global order of virtual finish: a document as often as the mix takes it.
 
-    Rows are whole documents: the one whose service the budget cuts short stays in that pass if
-    at least half of its words are taken. Documents of no words can't be taken.
+    Each lap of a document has its own virtual finish, (lap * source size + words up to its end)
+    / target; the mix is range-sorted by it and ends where the budget is used up. Rows are whole
+    documents: the one whose service the budget cuts short stays in that lap if at least half of
+    its words are taken. Documents of no words can't be taken. Rows that repeat a doc_id and a
+    text are alike to the mix: each is taken as often as the first of them.
     """
-    picked = shares(docs).select("doc_id", F.floor(F.try_divide(F.col("taken"), "size") + 0.5).cast("int").alias("mix_times_")).filter("mix_times_ > 0")
-    times = attach(docs.select(*docs.columns), picked.dropDuplicates(["doc_id"]), "doc_id")
-    return times.withColumn("mix_time_", F.explode(F.sequence(F.lit(1), F.col("mix_times_")))).select(*docs.columns)
+    laps = F.array(*[F.when(2 * _words(lap) >= F.col("size"), (F.col("start") + F.col("source_size") * lap + F.col("size")) / F.col("target")) for lap in range(REPEATS)])
+    queued = _queued(docs, weights, budget).filter("size > 0").select("doc_id", "digest", F.filter(laps, lambda x: x.isNotNull()).alias("finishes"))
+    told = cut(queued)
+    finish = fresh(docs, "finishes")
+    taken = told.filter(F.size("finishes") > 0).withColumnRenamed("finishes", finish)
+    if plain_ids(told):
+        times = attach(docs, taken.drop("digest"), "doc_id", "inner", F.lit(2 + REPEATS))
+    else:
+        times = by_row(docs, taken.groupBy("doc_id", "digest").agg(F.max_by(finish, F.struct(F.size(finish), F.array_min(finish))).alias(finish)))
+    one = fresh(docs, "virtual_finish_")
+    served = times.withColumn(one, F.explode(finish))
+    return served.repartitionByRange(F.col(one), F.col("doc_id")).sortWithinPartitions(one, "doc_id").select(*docs.columns)
 
 
 ORACLE = r"""
