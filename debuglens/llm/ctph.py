@@ -163,7 +163,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty. The next document is the one of the next smaller doc_id, and
     the largest comes after the smallest; rows that repeat a doc_id follow each other in order
-    of their text. An only document is its own next one. A row without doc_id comes last. An empty table gives an empty result.
+    of their text. An only document is its own next one. A row without doc_id
+    comes last. An empty table gives an empty result, and other columns are not read.
 
     Documents are dealt once, in ranges of ids whose bounds are ids of documents; a bound's
     document also goes to the range above it, which ends with it.

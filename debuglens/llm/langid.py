@@ -159,7 +159,9 @@ def _predicted(model: Filter):
 def predict(docs: DataFrame, model: Filter, held_out: Column) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (share of the corrected counts).
 
-    A null text or one without a letter is ``und`` with score 0; so is every text if nothing was
-    learnt. Only the text is looked at. Repeated rows each have their row.
+    A null or empty text or one without a letter is ``und`` with score 0; so is every text if
+    nothing was learnt. Only the text is looked at, the whole of it; of languages with equal
+    counts the commonest wins. Repeated rows, and rows without a doc_id, each have their row. An
+    empty table gives an empty result, and columns other than doc_id and text are not read.
     """
     return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(_predicted(model), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -107,15 +107,17 @@ def likely(odds: np.ndarray) -> np.ndarray:
 class CoTrained:
     """The two views, their calibrations and their sum."""
 
-    def __init__(self, text, meta, text_scale, meta_scale, both):
+    def __init__(self, text, meta, text_scale, meta_scale, both, heard):
         self.text, self.meta, self.text_scale, self.meta_scale, self.both = text, meta, text_scale, meta_scale, both
+        #: 1 for a view that takes part in the sum, 0 for one that would speak against its own verdict.
+        self.heard = heard
 
     def views(self, x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.text_scale.odds(self.text.odds(x)[:, None]), self.meta_scale.odds(self.meta.odds(m)[:, None])
 
     def score(self, x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = self.views(x, m)
-        return likely(self.both.odds(np.c_[a, b])), likely(a), likely(b)
+        return likely(self.both.odds(np.c_[a, b] * self.heard)), likely(a), likely(b)
 
 
 def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, px: np.ndarray, pm: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
@@ -149,8 +151,14 @@ def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, px: np.ndarray, pm: np
             break
     text_scale = Logistic(1e-3).fit(text.odds(x[held])[:, None], y[held])
     meta_scale = Logistic(1e-3).fit(meta.odds(m[held])[:, None], y[held])
-    both = Logistic(1e-2).fit(np.c_[text_scale.odds(text.odds(x[held])[:, None]), meta_scale.odds(meta.odds(m[held])[:, None])], y[held])
-    return CoTrained(text, meta, text_scale, meta_scale, both)
+    views = np.c_[text_scale.odds(text.odds(x[held])[:, None]), meta_scale.odds(meta.odds(m[held])[:, None])]
+    both, heard = Logistic(1e-2).fit(views, y[held]), np.ones(2)
+    if (both.w[:2] < 0).any():
+        # calibrated views can't have negative weights: the one that has is left out
+        heard = (both.w[:2] >= 0).astype(float)
+        heard = heard if heard.any() else np.array([1.0, 0.0])
+        both = Logistic(1e-2).fit(views * heard, y[held])
+    return CoTrained(text, meta, text_scale, meta_scale, both, heard)
 
 
 COLUMNS = ("doc_id", "text", "lang", "source", "points", "lines")
@@ -181,17 +189,19 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     """The classifier learnt from labels (doc_id, quality 0 or 1); None if they don't have both classes.
 
     The sample is the labelled, and the unlabelled, documents whose ids hash lowest, in equal
-    parts of both classes where there are enough.
+    parts of both classes where there are enough. A doc_id with labels of both classes teaches
+    nothing, and neither do rows without a doc_id; of rows that repeat one, the one of the
+    smallest features is learnt from. Empty tables give None.
     """
     ready(docs.sparkSession)
     turn = F.xxhash64("doc_id", F.lit("quality"))
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("most")).filter("quality = most").drop("most")
     chosen = [known.filter(F.col("quality") == q).select("doc_id", "quality", turn.alias("t")).orderBy("t", "doc_id").limit(labelled // 2) for q in (0, 1)]
-    other = docs.select("doc_id").join(known, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("quality"), turn.alias("t")).orderBy("t", "doc_id").limit(pool)
+    other = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("quality"), turn.alias("t")).orderBy("t", "doc_id").limit(pool)
     # at most labelled + pool rows of three numbers
-    sample = F.broadcast(chosen[0].unionByName(chosen[1]).unionByName(other).dropDuplicates(["doc_id"]))
+    sample = F.broadcast(chosen[0].unionByName(chosen[1]).unionByName(other))
     rows = _inputs(docs).join(sample, "doc_id").select(*COLUMNS, "quality").mapInArrow(_features, "doc_id long, quality int, features binary")
-    got = rows.orderBy("doc_id").toArrow()
+    got = rows.groupBy("doc_id", "quality").agg(F.min("features").alias("features")).orderBy("doc_id").toArrow()
     if not got.num_rows:
         return None
     values = np.stack([np.frombuffer(b, "<f4") for b in got.column("features").to_pylist()]).astype(np.float64)
@@ -219,7 +229,10 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     """One row per document: doc_id, text_score, meta_score, score (0 to 1), accepted.
 
     A null text counts as empty, a null language or source as a value of its own. Without labels
-    of both classes nothing can be told: every document has score 1 and is accepted.
+    of both classes nothing can be told: every document has score 1 and is accepted. Each row is
+    scored by its own columns, so rows that repeat a doc_id or have none need no rule; equal rows
+    have equal scores. Whole texts are read, a stretch at a time. An empty table gives an empty
+    result, and columns other than doc_id, text, lang and source are not read.
     """
     ready(docs.sparkSession)
     return _inputs(docs).mapInArrow(_scored(model), "doc_id long, text_score double, meta_score double, score double, accepted boolean")

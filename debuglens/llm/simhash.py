@@ -73,17 +73,16 @@ def _links(radius: int):
         table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        shard, code, node = (table.column(c).to_numpy() for c in ("shard", "code", "node"))
-        code = code.view(np.uint64)
-        order = np.lexsort((node, shard))
-        shard, code, node = shard[order], code[order], node[order]
+        shard, code = (table.column(c).to_numpy() for c in ("shard", "code"))
+        order = np.lexsort((code, shard))
+        shard, code = shard[order], code[order].view(np.uint64)
         label = np.arange(len(code))
         for a, b in Forest(code, shard).linked(radius):
             label = merge(label, a, b)
         moved = np.flatnonzero(label != np.arange(len(code)))
         for at in range(0, len(moved), 1 << 16):
             part = moved[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(node[label[part]])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(code[part].view(np.int64)), pa.array(code[label[part]].view(np.int64))], names=["a", "b"])
 
     return run
 
@@ -95,17 +94,20 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, t
     fewer words is one shingle, and a text of none (null included) has fingerprint zero, which
     links like any other. Fingerprints that differ in at most radius bits link, and
     component_id is the smallest doc_id that links reach. An empty table gives an empty result;
-    rows that repeat a doc_id each have their row.
+    rows that repeat a doc_id each have their row, and rows without one have the component of
+    their fingerprint, null if no row of it has a doc_id. Columns other than doc_id and text are
+    not read.
     """
     ready(docs.sparkSession)
     coded = cut(docs.select("doc_id", text_bytes()).mapInArrow(_fingerprints(shingle), "doc_id long, code long"))
     codes = cut(coded.groupBy("code").agg(F.min("doc_id").alias("node")))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(codes.count(), radius)]
-    sharded = codes.select("code", "node", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("code").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)])).alias("s")).select("s.band", "s.key", "code", "node")
+    sharded = codes.select("code", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("code").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)])).alias("s")).select("s.band", "s.key", "code")
     large = sharded.groupBy("band", "key").count().filter(F.col("count") > tile).select("band", "key", F.ceil(F.col("count") / F.lit(tile)).cast("int").alias("tiles"))
     tiled = sharded.join(large, ["band", "key"], "left").withColumn("own", F.pmod(F.xxhash64("code"), F.coalesce("tiles", F.lit(1))).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1), lambda u: F.xxhash64("band", "key", F.least(u, "own"), F.greatest(u, "own"))))
-    dealt = tiled.select(pair.alias("shard"), "code", "node").repartition(parts(docs), "shard")
+    dealt = tiled.select(pair.alias("shard"), "code").repartition(parts(docs), "shard")
     edges = dealt.mapInArrow(_links(radius), "a long, b long").distinct()
-    joined = codes.join(components(edges), "node", "left").select("code", F.coalesce("component", "node").alias("component_id"))
+    roots = cut(codes.join(components(edges).withColumnRenamed("node", "code"), "code", "left").select("code", "node", F.coalesce("component", "code").alias("component")))
+    joined = roots.join(roots.groupBy("component").agg(F.min("node").alias("component_id")), "component").select("code", "component_id")
     return coded.join(joined, "code").select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")

@@ -45,3 +45,17 @@ def test_only_ascii_letters_are_lower_cased(spark):
     assert got[1]["score"] == pytest.approx(0.9) and got[1]["labels"] == "cc"
     assert (got[2]["n_words"], got[2]["n_base"], got[2]["first_word"]) == (5, 1, 3)
     assert (got[3]["n_words"], got[3]["base_labels"]) == (2, "mit")
+
+
+def test_near_groups_of_repeated_and_missing_ids(spark):
+    from debuglens.llm import simhash
+
+    big = (1 << 62) + 1
+    rows = [(None, "a b c d"), (big, "a b c d"), (big + 2, "a  b c d"), (None, "q r s t"), (None, "Q r s t"), (4, "x y z"), (4, "u v w"), (9, "u v w"), (None, None)]
+    got = simhash.near_groups(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    prints = {}
+    for (d, t), r in zip(sorted(rows, key=str), sorted(got, key=lambda r: str((r["doc_id"],)))):
+        prints.setdefault(r["fingerprint"], []).append(r)
+    parts = sorted(sorted(str((r["doc_id"], r["component_id"])) for r in rs) for rs in prints.values())
+    assert parts == sorted([sorted(map(str, [(None, big), (big, big), (big + 2, big)])), ["(None, None)", "(None, None)"], ["(4, 4)"], ["(4, 4)", "(9, 4)"], ["(None, None)"]])
