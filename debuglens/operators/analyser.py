@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from debuglens.functions import stabs
 from debuglens.session import ready
@@ -37,8 +38,10 @@ class MalformedSymbols(ValueError):
 class Fold:
     """One file's state; feed() takes symbols in order, and rows are ready after each call."""
 
-    def __init__(self, file: int, base: int = 0, path: str = "", strict: bool = True, externals: dict | None = None):
-        self.file, self.base, self.path, self.strict, self.externals = file, base, path, strict, externals or {}
+    def __init__(self, file: int, base: int = 0, path: str = ""):
+        self.file, self.base, self.path = file, base, path
+        #: Whether faults of this file's symbols are errors; not after a string that the compiler cut off.
+        self.strict = True
         self.rows: list[dict] = []
         self.function: dict | None = None
         self.beginning = False
@@ -106,6 +109,10 @@ class Fold:
         except stabs.Truncated:
             self.strict = False  # more faults are to be expected in this file
             return
+        except stabs.StabsError as e:
+            if self.strict:
+                raise MalformedSymbols(str(e)) from e
+            return
         self.parsed(s, parsed)
 
     def parsed(self, s: dict, p: stabs.Symbol) -> None:
@@ -132,8 +139,8 @@ class Fold:
             self.waiting.append(local)
         elif p.descriptor in ("global_variable", "static_global_variable"):
             fixed = p.descriptor == "static_global_variable"
-            address, place = (s["value"], s["symbol_class"]) if fixed else self.externals.get(p.name, (None, s["symbol_class"]))
-            self.rows.append(self.row("global", seq, p.name, address=address, storage=self.place(place), is_static=fixed, **shape))
+            # the address of a variable that isn't static is that of the external symbol of its name
+            self.rows.append(self.row("global", seq, p.name, address=s["value"] if fixed else None, storage=self.place(s["symbol_class"]), is_static=fixed, **shape))
         else:
             name = "" if p.name == " " else p.name
             self.rows.append(self.row("data_type", seq, name, size=p.type.attrs.get("size"), is_static=None, storage="typedef" if p.type.attrs["is_typedef"] else None, **shape))
@@ -168,33 +175,94 @@ def signed(value: int) -> int:
     return value - (1 << 32) if value >= 1 << 31 else value
 
 
-def analyse(symbols: DataFrame) -> DataFrame:
+INPUT = ["file", "sym_idx", "value", "symbol_type", "symbol_class", "index", "string", "base", "frame_size"]
+MORE = {"path": "string", "module": "long"}
+
+
+def analyse(symbols: DataFrame, externals: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """Entity rows of symbols (file, sym_idx, value, symbol_type, symbol_class, index, string, base, frame_size).
 
-    ``index``, ``base`` and ``frame_size`` may be null only where they say nothing. Whatever the
-    number of files, a task holds one function of one file.
+    ``index``, ``base`` and ``frame_size`` may be null only where they say nothing; ``path``, if
+    there, is each file's own path. Non-static global variables have the address and the place of
+    the external symbol of their name: externals are (string, value, symbol_class), with module
+    if symbols have it too; of several of a name the first (by sym_idx, if there) counts. Whatever
+    the number of files is, a task holds one function of one file. A file whose symbols are
+    malformed fails the query if strict; otherwise it gives no rows, like a transaction that is
+    taken back, and faults() tells why.
     """
+    return _analysed(symbols, externals, strict).filter("entity <> 'fault'")
+
+
+def faults(symbols: DataFrame) -> DataFrame:
+    """(file, message) of the files that analyse(strict=False) leaves out."""
+    return _analysed(symbols, None, False).filter("entity = 'fault'").select("file", F.col("name").alias("message"))
+
+
+def _analysed(symbols: DataFrame, externals: DataFrame | None, strict: bool) -> DataFrame:
     ready(symbols.sparkSession)
-    names = ["file", "sym_idx", "value", "symbol_type", "symbol_class", "index", "string", "base", "frame_size"]
+    there = set(symbols.columns)
+    placed = symbols.select(*INPUT, *[F.col(n) if n in there else F.lit(None).cast(t).alias(n) for n, t in MORE.items()])
 
     def run(batches):
-        fold = None
+        fold, bad = None, False
+
+        def end():
+            try:
+                fold.finish()
+            except MalformedSymbols as e:
+                return fault(e)
+            return fold.rows
+
+        def fault(e):
+            if strict:
+                raise e
+            return [{"file": fold.file, "entity": "fault", "name": str(e)}]
+
+        held: list[dict] = []
         for batch in batches:
             for s in batch.to_pylist():
                 if fold is None or fold.file != s["file"]:
-                    if fold is not None:
-                        fold.finish()
-                        if fold.rows:
-                            yield pa.RecordBatch.from_pylist(fold.rows, SCHEMA)
-                    fold = Fold(s["file"], s["base"] or 0)
-                fold.feed(s)
-                if len(fold.rows) > 10_000:
-                    yield pa.RecordBatch.from_pylist(fold.rows, SCHEMA)
+                    if fold is not None and not bad:
+                        held += end()
+                    fold, bad = Fold(s["file"], s["base"] or 0, s["path"] or ""), False
+                if bad:
+                    continue
+                try:
+                    fold.feed(s)
+                except MalformedSymbols as e:
+                    held += fault(e)
+                    bad = True
+                # what isn't strict may have to take a whole file back
+                if strict and len(fold.rows) > 10_000:
+                    held += fold.rows
                     fold.rows = []
-        if fold is not None:
-            fold.finish()
-            if fold.rows:
-                yield pa.RecordBatch.from_pylist(fold.rows, SCHEMA)
+                if len(held) > 10_000:
+                    yield pa.RecordBatch.from_pylist(held, SCHEMA)
+                    held = []
+        if fold is not None and not bad:
+            held += end()
+        if held:
+            yield pa.RecordBatch.from_pylist(held, SCHEMA)
 
-    ordered = symbols.select(*names).repartition("file").sortWithinPartitions("file", "sym_idx")
-    return ordered.mapInArrow(run, COLUMNS)
+    ordered = placed.repartition("file").sortWithinPartitions("file", "sym_idx")
+    out = ordered.select(*INPUT, "path").mapInArrow(run, COLUMNS)
+    if externals is None:
+        return out
+    with_module = "module" in there and "module" in externals.columns
+    key = ["module_", "name"]
+    named = externals.select(F.col("module") if with_module else F.lit(None).cast("long").alias("module"), F.col("string").alias("name"), "value", "symbol_class", *(["sym_idx"] if "sym_idx" in externals.columns else []))
+    named = named.withColumn("module_", F.coalesce("module", F.lit(-1)))
+    order = F.col("sym_idx") if "sym_idx" in externals.columns else F.col("value")
+    first = named.groupBy(key).agg(F.min_by(F.struct("value", "symbol_class"), order).alias("found_"))
+    place = F.col("found_.symbol_class")
+    if with_module:
+        owners = placed.groupBy("file").agg(F.first("module", True).alias("module_"))
+        out = out.join(owners, "file", "left")
+    else:
+        out = out.withColumn("module_", F.lit(None).cast("long"))
+    out = out.withColumn("module_", F.coalesce("module_", F.lit(-1)))
+    wanted = (F.col("entity") == "global") & ~F.col("is_static")
+    told = out.filter(wanted).join(first, key, "left").withColumn("address", F.coalesce("found_.value", "address"))
+    located = F.create_map(*[F.lit(x) for k, v in LOCATIONS.items() for x in (k, v)])
+    told = told.withColumn("storage", F.coalesce(F.try_element_at(located, place.cast("int")), "storage")).drop("found_")
+    return out.filter(~F.coalesce(wanted, F.lit(False))).unionByName(told).drop("module_")

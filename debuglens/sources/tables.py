@@ -12,6 +12,8 @@ from debuglens.session import ready
 from debuglens.sources import decode
 from debuglens.sources.layout import Malformed
 
+#: Rows that a task gives at once.
+BATCH = 10_000
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
 
@@ -40,19 +42,33 @@ def decoded(files: DataFrame, rows: Callable, columns: str, strict: bool = True)
     key = files.columns[0]
     schema = pa.schema([pa.field(n, _KINDS[t]) for n, t in fields])
 
+    names, types = schema.names, schema.types
+
     def run(batches):
+        held: list[dict] = []
+        owners: list = []
+        kind = None
+
+        def give():
+            arrays = [pa.array([r.get(n) for r in held], t) for n, t in zip(names, types)]
+            return pa.RecordBatch.from_arrays([pa.array(owners, kind), *arrays], names=[key, *names])
+
         for batch in batches:
-            keys = batch.column(0)
-            for k in range(batch.num_rows):
+            kind = batch.column(0).type
+            for owner, *given in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    found = rows(*(batch.column(c)[k].as_py() for c in range(1, batch.num_columns)))
+                    found = rows(*given)
                 except Malformed:
                     if strict:
                         raise
                     continue
-                if found:
-                    arrays = [pa.array([r.get(n) for r in found], t) for n, t in zip(schema.names, schema.types)]
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[k].as_py()] * len(found), keys.type), *arrays], names=[key, *schema.names])
+                held.extend(found)
+                owners.extend([owner] * len(found))
+                if len(held) >= BATCH:
+                    yield give()
+                    held, owners = [], []
+        if held:
+            yield give()
 
     return files.mapInArrow(run, f"{key} {files.schema[0].dataType.simpleString()}, {columns}")
 

@@ -101,3 +101,8 @@ def test_operator_names(mangled, want):
 @pytest.mark.parametrize(("mangled", "want"), [("_ZN1A1fEv", "A::f()"), ("_ZN1AC1ERKS_", "A::A(A const&)"), ("_Z1fIiEvi", "void f<int>(int)"), ("_ZNK1A1gEi", "A::g(int) const"), ("_ZTV3Foo", "vtable for Foo"), ("plain", None), ("_Z", None)])
 def test_itanium_names(mangled, want):
     assert demangle.demangle(mangled) == want
+
+
+@pytest.mark.parametrize(("mangled", "want"), [("_ZN1AC1ERKS_", "A::A(A const&)"), ("_Z1fIiEvi", "void f<int>(int)"), ("_ZNK1A1gEi", "A::g(int) const"), ("_ZTV3Foo", "vtable for Foo")])
+def test_special_names_templates_and_substitutions(mangled, want):
+    assert demangle.demangle(mangled) == want
