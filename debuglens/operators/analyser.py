@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from debuglens.functions import stabs
-from debuglens.session import ready
+from debuglens.session import cut, ready
 
 STABS_BASE = 0x8F300
 #: Codes of stabs symbols: those whose strings are parsed, and those with a meaning of their own.
@@ -248,6 +248,7 @@ def _analysed(symbols: DataFrame, externals: DataFrame | None, strict: bool) ->
     out = ordered.select(*INPUT, "path").mapInArrow(run, COLUMNS)
     if externals is None:
         return out
+    out = cut(out)
     with_module = "module" in there and "module" in externals.columns
     key = ["module_", "name"]
     named = externals.select(F.col("module") if with_module else F.lit(None).cast("long").alias("module"), F.col("string").alias("name"), "value", "symbol_class", *(["sym_idx"] if "sym_idx" in externals.columns else []))

@@ -64,13 +64,15 @@ def duplicate_functions(functions: DataFrame, source_files: DataFrame) -> DataFr
     return rows.withColumn("address", F.when(~F.coalesce(gone, F.lit(False)), F.col("address"))).drop("rn_", "least_")
 
 
-def symbols_not_yet_there(symbols: DataFrame, earlier: DataFrame) -> DataFrame:
+def symbols_not_yet_there(symbols: DataFrame, earlier: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """Symbols whose address no earlier function or variable starts at, nor an earlier creating row of the same table.
 
-    symbols: idx, address, creates (whether the row makes a function or a variable).
+    symbols: idx, address, creates (whether the row makes a function or a variable). Addresses
+    are those of a group, such as a module.
     """
-    fresh = symbols.join(earlier.select("address").distinct(), "address", "left_anti")
-    first = F.min(F.when(F.col("creates"), F.col("idx"))).over(Window.partitionBy("address"))
+    place = [*group, "address"]
+    fresh = symbols.join(earlier.select(place).distinct(), place, "left_anti")
+    first = F.min(F.when(F.col("creates"), F.col("idx"))).over(Window.partitionBy(place))
     return fresh.withColumn("first_", first).filter(F.col("first_").isNull() | (F.col("idx") <= F.col("first_"))).drop("first_")
 
 
