@@ -42,22 +42,52 @@ def by_name(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("handle").alias("first_handle"))
 
 
-def _width(intervals: DataFrame) -> int:
-    low, high, n = intervals.agg(F.min("lo_"), F.max("hi_"), F.count("*")).first()
-    return max(1, 4 * (high - low) // n) if n else 1
+#: Buckets that an interval may touch at its level.
+TOUCHED = 64
+
+
+def _width(intervals: DataFrame) -> tuple[int, int]:
+    """The width of the finest buckets, and the level of the coarsest that are needed."""
+    low, high, n, longest = intervals.agg(F.min("lo_"), F.max("hi_"), F.count("*"), F.max(F.col("hi_") - F.col("lo_"))).first()
+    if not n:
+        return 1, 0
+    width, top = max(1, 4 * (high - low) // n), 0
+    while longest > width * TOUCHED ** (top + 1):
+        top += 1
+    return width, top
 
 
 def interval_join(probes: DataFrame, intervals: DataFrame, at: str, how: str = "inner") -> DataFrame:
     """Probes joined with the intervals [lo_, hi_) that contain their value of at.
 
-    An interval goes to the buckets it touches, about five for each four intervals on average.
+    An interval goes to the buckets it touches, about five for each four intervals if they are
+    disjoint. Intervals that touch more than TOUCHED go to buckets TOUCHED times as wide, and so
+    on; where there are such, a probe is sought once at each level.
     """
-    width = F.lit(_width(intervals)).cast("long")
+    finest, top = _width(intervals)
     full = intervals.filter("lo_ < hi_")
-    dealt = full.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col("lo_") / width), F.floor((F.col("hi_") - 1) / width))))
-    sought = probes.withColumn("bucket_", F.floor(F.col(at) / width))
-    on = (sought["bucket_"] == dealt["bucket_"]) & (sought[at] >= dealt["lo_"]) & (sought[at] < dealt["hi_"])
-    return sought.join(dealt, on, how).drop("bucket_", "lo_", "hi_")
+    if not top:
+        width = F.lit(finest).cast("long")
+        dealt = full.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col("lo_") / width), F.floor((F.col("hi_") - 1) / width))))
+        sought = probes.withColumn("bucket_", F.floor(F.col(at) / width))
+        on = (sought["bucket_"] == dealt["bucket_"]) & (sought[at] >= dealt["lo_"]) & (sought[at] < dealt["hi_"])
+        return sought.join(dealt, on, how).drop("bucket_", "lo_", "hi_")
+    span, level = F.col("hi_") - F.col("lo_"), F.lit(top)
+    for k in reversed(range(top)):
+        level = F.when(span <= finest * TOUCHED ** (k + 1), k).otherwise(level)
+    widths = F.array(*[F.lit(finest * TOUCHED**k).cast("long") for k in range(top + 1)])
+    placed = full.withColumn("level_", level).withColumn("width_", F.get(widths, F.col("level_")))
+    dealt = placed.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col("lo_") / F.col("width_")), F.floor((F.col("hi_") - 1) / F.col("width_"))))).drop("width_")
+    levels = F.array(*[F.struct(F.lit(k).alias("level_"), F.floor(F.col(at) / F.lit(finest * TOUCHED**k).cast("long")).alias("bucket_")) for k in range(top + 1)])
+    sought = probes.withColumn("place_", F.explode(levels)).select(*probes.columns, "place_.level_", "place_.bucket_")
+    on = (sought["level_"] == dealt["level_"]) & (sought["bucket_"] == dealt["bucket_"]) & (sought[at] >= dealt["lo_"]) & (sought[at] < dealt["hi_"])
+    found = sought.join(dealt, on).drop("level_", "bucket_", "lo_", "hi_")
+    if how == "inner":
+        return found
+    # a probe stands in several rows: those that no level has an interval for come back once
+    key = [c for c in probes.columns]
+    alone = probes.alias("p").join(found.select(*[F.col(c).alias(f"f_{k}") for k, c in enumerate(key)]).distinct(), [F.col(f"p.`{c}`").eqNullSafe(F.col(f"f_{k}")) for k, c in enumerate(key)], "left_anti")
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 def with_next(symbols: DataFrame, group: list[str] | None = None, width: int = 1 << 16) -> DataFrame:
@@ -140,12 +170,10 @@ def kind_after(probes: DataFrame, kinds: dict[str, DataFrame], address: str) ->
 
 def kind_overlapping(probes: DataFrame, kinds: dict[str, DataFrame], address: str, key: list[str]) -> DataFrame:
     """The first kind, in search order, whose list has an overlapping symbol."""
-    out = None
-    for rank, (kind, df) in enumerate(kinds.items()):
-        hit = overlapping(probes.select(*key, address), df.select("handle", F.col("address"), "size"), address, "inner")
-        part = hit.select(*key, F.struct(F.lit(rank).alias("r"), F.lit(kind).alias("kind"), F.col("handle").alias("h")).alias("hit"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(*key).agg(F.min("hit").alias("hit")).select(*key, F.col("hit.kind").alias("kind"), F.col("hit.h").alias("handle"))
+    ends = with_next(union_of(kinds), ["kind_rank"])
+    intervals = ends.select("kind_rank", "kind", "handle", F.col("address").alias("lo_"), F.least(F.col("address") + F.col("size"), F.coalesce("next_start", F.lit(TOP))).alias("hi_"))
+    hits = interval_join(probes.select(*key, address), intervals, address)
+    return hits.groupBy(*key).agg(F.min(F.struct("kind_rank", "kind", "handle")).alias("hit")).select(*key, "hit.kind", "hit.handle")
 
 
 def dense_index(symbols: DataFrame, handle: str = "handle", buckets: int = 1 << 12) -> DataFrame:

@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 WORD = 1 << 32
 
 
-def opcode_hash(stream: DataFrame, key: str, order: str, opcode: str) -> DataFrame:
-    """(key, hash): h = h * 31 + opcode modulo 2**32 over each key's opcodes in order."""
-    ops = F.transform(F.array_sort(F.collect_list(F.struct(order, opcode))), lambda s: s[opcode])
-    return stream.groupBy(key).agg(F.aggregate(ops, F.lit(0).cast("long"), lambda h, x: (h * 31 + x).bitwiseAND(F.lit(WORD - 1))).alias("hash"))
+def opcode_hash(stream: DataFrame, key: str, order: str, opcode: str, block: int = 4096) -> DataFrame:
+    """(key, hash): h = h * 31 + opcode modulo 2**32 over each key's opcodes in order.
 
-
-def opcode_hash_combined(stream: DataFrame, key: str, order: str, opcode: str, block: int = 4096) -> DataFrame:
-    """The same hash from partial hashes: blocks of a key's order carry (hash, 31**n) and combine, so a long function isn't one list."""
+    Blocks of a key's order carry (hash, 31**n) and combine, so a long function isn't one list.
+    """
     blocks = stream.withColumn("block_", F.floor(F.col(order) / block))
     step = F.transform(F.array_sort(F.collect_list(F.struct(order, opcode))), lambda s: s[opcode])
     zero = F.struct(F.lit(0).cast("long").alias("h"), F.lit(1).cast("long").alias("p"))

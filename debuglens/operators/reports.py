@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from debuglens.functions import columns as C
+from debuglens.operators.lookup import dense_index
 
 JSON_FORMAT, JSON_VERSION = "Symbol Database", 15
 
@@ -56,6 +57,16 @@ def global_comment(location: Column, address: Column) -> Column:
     return F.concat(F.lit("/* "), location, F.coalesce(F.concat(F.lit(" "), C.hex_plain(address)), F.lit("")), F.lit(" */ "))
 
 
+def file_breaks(symbols: DataFrame, value: str) -> DataFrame:
+    """Adds is_break: whether value differs from that of the symbol before it in order of handles, the first being one.
+
+    Rows meet by their dense places, so no task has them all.
+    """
+    placed = dense_index(symbols)
+    before = placed.select((F.col("idx") + 1).alias("idx"), F.col(value).alias("before_"), F.lit(True).alias("any_"))
+    return placed.join(before, "idx", "left").withColumn("is_break", F.col("any_").isNull() | ~F.col("before_").eqNullSafe(F.col(value))).drop("idx", "before_", "any_")
+
+
 def header_rows(headers: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, value): a header unpivoted."""
     return headers.unpivot([key], fields, "field", "value")

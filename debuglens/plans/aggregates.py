@@ -36,7 +36,7 @@ def e03(b: Bridge):
 
 @query("e03_combined", HASH)
 def e03_combined(b: Bridge):
-    return passes.opcode_hash_combined(b.opcodes, "user", "seq", "opcode", 1000)
+    return passes.opcode_hash(b.opcodes, "user", "seq", "opcode", 1000)
 
 
 @query("e04", "SELECT p_brand AS source_file, count(*) FILTER (WHERE p_size % 7 <> 0 AND p_size % 2 = 0) >= count(*) FILTER (WHERE p_size % 7 <> 0 AND p_size % 2 <> 0) AS matches FROM part GROUP BY p_brand")
@@ -81,9 +81,8 @@ def _chain(b: Bridge):
 @query("e09", f"{REACH} SELECT target AS type, p_brand AS file, count(*) AS n FROM r JOIN part ON p_partkey = node WHERE hops > 0 GROUP BY 1, 2")
 def e09(b: Bridge):
     """References to each type from each file, through chains of type names."""
-    reached = graph.closure(_chain(b), 30).filter("hops > 0")
     files = b.table("part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("file"))
-    return reached.join(files, "node").groupBy(F.col("target").alias("type"), "file").agg(F.count("*").alias("n"))
+    return graph.reach_counts(_chain(b), files, "file", 30).withColumnRenamed("node", "type")
 
 
 @query("e10", f"{REACH}, c AS (SELECT target AS type, p_brand AS file, count(*) AS n FROM r JOIN part ON p_partkey = node WHERE hops > 0 GROUP BY 1, 2) SELECT type, file, n FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY n DESC, file) AS k FROM c) q WHERE k = 1")
@@ -120,14 +119,12 @@ def e15(b: Bridge):
     return b.globals.join(types, "handle", "left").select("handle", F.coalesce("type_size", "size").alias("size"))
 
 
-@query("f01", "WITH x AS (SELECT conv_id AS file, turn, CASE WHEN turn % 3 <> 2 THEN substr(coalesce(text, ''), 1, 40) || chr(92) ELSE substr(coalesce(text, ''), 1, 40) END AS t FROM conversations), y AS (SELECT *, CASE WHEN coalesce(lag(t LIKE '%' || chr(92)) OVER (PARTITION BY file ORDER BY turn), false) THEN 0 ELSE 1 END AS s FROM x), z AS (SELECT *, sum(s) OVER (PARTITION BY file ORDER BY turn) AS seg FROM y) SELECT file, CAST(seg AS BIGINT) AS seg, string_agg(rtrim(t, chr(92)), '' ORDER BY turn) AS text FROM z GROUP BY file, seg")
-def f01(b: Bridge):
-    """Strings that end in a backslash go on in the next symbol."""
-    return _continued(b, F.substring(F.coalesce("text", F.lit("")), 1, 40))
+CONTINUED = "WITH x AS (SELECT conv_id AS file, turn, CASE WHEN turn % 3 <> 2 THEN coalesce(text, '') || chr(92) ELSE coalesce(text, '') END AS t FROM conversations), y AS (SELECT *, CASE WHEN coalesce(lag(t LIKE '%' || chr(92)) OVER (PARTITION BY file ORDER BY turn), false) THEN 0 ELSE 1 END AS s FROM x), z AS (SELECT *, sum(s) OVER (PARTITION BY file ORDER BY turn) AS seg FROM y) SELECT file, CAST(seg AS BIGINT) AS seg, string_agg(rtrim(t, chr(92)), '' ORDER BY turn) AS text FROM z GROUP BY file, seg"
 
 
-@query("f01_whole", "WITH x AS (SELECT conv_id AS file, turn, CASE WHEN turn % 3 <> 2 THEN coalesce(text, '') || chr(92) ELSE coalesce(text, '') END AS t FROM conversations), y AS (SELECT *, CASE WHEN coalesce(lag(t LIKE '%' || chr(92)) OVER (PARTITION BY file ORDER BY turn), false) THEN 0 ELSE 1 END AS s FROM x), z AS (SELECT *, sum(s) OVER (PARTITION BY file ORDER BY turn) AS seg FROM y) SELECT file, CAST(seg AS BIGINT) AS seg, string_agg(rtrim(t, chr(92)), '' ORDER BY turn) AS text FROM z GROUP BY file, seg")
-def f01_whole(b: Bridge):
+@query("f01", CONTINUED)
+@query("f01_whole", CONTINUED)
+def f01(b: Bridge):
     """Whole turns, however long they are."""
     return _continued(b, F.coalesce("text", F.lit("")))
 
@@ -211,13 +208,12 @@ def j04(b: Bridge):
     return graph.closure(_chain(b), 30).filter("hops > 0")
 
 
-@query("j05", "WITH RECURSIVE r(ty, cur, shift, level) AS (SELECT p_partkey, p_partkey, CAST(0 AS BIGINT), 0 FROM part WHERE p_partkey <= 400 UNION ALL SELECT ty, cur // 2, shift + cur % 16 * 4, level + 1 FROM r WHERE cur // 2 > 0) SELECT ty AS type, CAST(level AS BIGINT) AS level, f AS ord, shift + f * 4 AS \"offset\" FROM r, (VALUES (0), (1), (2)) v(f) WHERE f <= cur % 3")
-def j05(b: Bridge):
-    return _flat_fields(b.table("part").filter("p_partkey <= 400"))
+FLAT = "WITH RECURSIVE r(ty, cur, shift, level) AS (SELECT p_partkey, p_partkey, CAST(0 AS BIGINT), 0 FROM part UNION ALL SELECT ty, cur // 2, shift + cur % 16 * 4, level + 1 FROM r WHERE cur // 2 > 0) SELECT ty AS type, CAST(level AS BIGINT) AS level, f AS ord, shift + f * 4 AS \"offset\" FROM r, (VALUES (0), (1), (2)) v(f) WHERE f <= cur % 3"
 
 
-@query("j05_whole", "WITH RECURSIVE r(ty, cur, shift, level) AS (SELECT p_partkey, p_partkey, CAST(0 AS BIGINT), 0 FROM part UNION ALL SELECT ty, cur // 2, shift + cur % 16 * 4, level + 1 FROM r WHERE cur // 2 > 0) SELECT ty AS type, CAST(level AS BIGINT) AS level, f AS ord, shift + f * 4 AS \"offset\" FROM r, (VALUES (0), (1), (2)) v(f) WHERE f <= cur % 3")
-def j05_whole(b: Bridge):
+@query("j05", FLAT)
+@query("j05_whole", FLAT)
+def j05(b: Bridge):
     """Fields of all types, whatever their number."""
     return _flat_fields(b.table("part"))
 

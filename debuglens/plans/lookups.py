@@ -39,19 +39,15 @@ def d04(b: Bridge):
     return lookup.first_starting_at(_coarse(b))
 
 
-RANGES = "rg AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey * 640 END AS low, CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN s_suppkey * 640 - 10 ELSE s_suppkey * 640 + 2000 END AS high FROM supplier WHERE s_suppkey % 11 <> 0 OR s_suppkey < 50)"
-
-
-@query("d05", f"WITH {FN}, {RANGES} SELECT s, handle FROM rg JOIN fn ON (low IS NOT NULL OR high IS NOT NULL) AND (low IS NULL OR address >= low) AND (high IS NULL OR address < high)")
-def d05(b: Bridge):
-    return _in_ranges(b, b.table("supplier").filter("s_suppkey % 11 != 0 OR s_suppkey < 50"))
+WHOLE_RANGES = "rg AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey * 640 END AS low, CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN s_suppkey * 640 - 10 ELSE s_suppkey * 640 + 2000 END AS high FROM supplier)"
 
 
-WHOLE_RANGES = "rg AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey * 640 END AS low, CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN s_suppkey * 640 - 10 ELSE s_suppkey * 640 + 2000 END AS high FROM supplier)"
+WHOLE = f"WITH {FN}, {WHOLE_RANGES} SELECT s, handle FROM rg JOIN fn ON (low IS NOT NULL OR high IS NOT NULL) AND (low IS NULL OR address >= low) AND (high IS NULL OR address < high)"
 
 
-@query("d05_whole", f"WITH {FN}, {WHOLE_RANGES} SELECT s, handle FROM rg JOIN fn ON (low IS NOT NULL OR high IS NOT NULL) AND (low IS NULL OR address >= low) AND (high IS NULL OR address < high)")
-def d05_whole(b: Bridge):
+@query("d05", WHOLE)
+@query("d05_whole", WHOLE)
+def d05(b: Bridge):
     """The ranges of all suppliers, open above or below."""
     return _in_ranges(b, b.table("supplier"))
 
@@ -130,14 +126,14 @@ def d15(b: Bridge):
     return b.functions.select("handle", "name").join(external, "name", "left")
 
 
-@query("d16", """WITH r AS (SELECT p_partkey AS ref, p_partkey % 10 AS file, p_partkey % 100 AS number, CASE WHEN p_partkey % 4 = 1 THEN p_name ELSE 'missing' || (p_partkey % 50) END AS name, p_partkey % 8 = 3 AS is_this FROM part),
-n AS (SELECT p_partkey % 10 AS file, p_partkey AS number, p_partkey * 2 AS handle FROM part WHERE p_partkey < 50), t AS (SELECT p_name AS name, min(p_partkey) AS m FROM part GROUP BY p_name)
+@query("d16", """WITH r AS (SELECT p_partkey AS ref, p_partkey % 10 AS file, CASE WHEN p_partkey % 2 = 0 THEN p_partkey + p_partkey % 3 * 10 ELSE -p_partkey END AS number, CASE WHEN p_partkey % 4 = 1 THEN p_name ELSE 'missing' || (p_partkey % 50) END AS name, p_partkey % 8 = 3 AS is_this FROM part),
+n AS (SELECT p_partkey % 10 AS file, p_partkey AS number, p_partkey * 2 AS handle FROM part), t AS (SELECT p_name AS name, min(p_partkey) AS m FROM part GROUP BY p_name)
 SELECT ref, CASE WHEN handle IS NOT NULL THEN 1 WHEN m IS NOT NULL THEN 2 WHEN is_this THEN 3 ELSE 4 END AS tier, coalesce(handle, m) AS target FROM r LEFT JOIN n ON r.file = n.file AND r.number = n.number LEFT JOIN t ON r.name = t.name""")
 def d16(b: Bridge):
     h = F.col("handle")
     name = F.when(h % 4 == 1, F.col("name")).otherwise(F.concat(F.lit("missing"), (h % 50).cast("string")))
-    refs = b.functions.select(h.alias("ref"), (h % 10).alias("file"), (h % 100).alias("number"), name.alias("name"), (h % 8 == 3).alias("is_this"))
-    numbers = b.functions.filter("handle < 50").select((h % 10).alias("file"), h.alias("number"), (h * 2).alias("handle"))
+    refs = b.functions.select(h.alias("ref"), (h % 10).alias("file"), F.when(h % 2 == 0, h + h % 3 * 10).otherwise(-h).alias("number"), name.alias("name"), (h % 8 == 3).alias("is_this"))
+    numbers = b.functions.select((h % 10).alias("file"), h.alias("number"), (h * 2).alias("handle"))
     return passes.resolve_type_names(refs, numbers, b.functions.select("handle", "name")).select("ref", "tier", "target")
 
 

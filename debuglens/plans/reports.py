@@ -50,13 +50,13 @@ def j15(b: Bridge):
     return types.refined(_struct(b).withColumn("data", data)).filter("path NOT LIKE '.a%'")
 
 
-@query("j16", "SELECT p_partkey AS h, CAST(k AS BIGINT) AS k, CAST(k + 1 AS BIGINT) AS value FROM part, (VALUES (0), (1), (2)) v(k) WHERE k <= p_size % 9 AND k < 3")
+@query("j16", "SELECT p_partkey AS h, k, CASE WHEN k < 4 THEN k + 1 WHEN k < 8 THEN (p_partkey >> CAST(8 * (k - 4) AS BIGINT)) & 255 ELSE 9 END AS value FROM part, range(9) v(k) WHERE k <= p_size % 9")
 def j16(b: Bridge):
-    """Elements of an array, each a literal."""
-    data = F.concat(C.le_bytes(F.col("h"), 4), C.le_bytes(F.col("h"), 4), F.lit(b"\1\2\3\4"), C.le_bytes(F.col("h"), 4))
+    """Elements of an array, each a literal, up to its end."""
+    data = F.concat(C.le_bytes(F.col("h"), 4), C.le_bytes(F.col("h"), 4), F.lit(b"\1\2\3\4"), C.le_bytes(F.col("h"), 4), F.lit(b"\x09"))
     leaves = types.refined(_struct(b).withColumn("data", data)).filter("path LIKE '.a[%'")
     k = F.regexp_extract("path", r"\[(\d+)\]", 1).cast("long")
-    return leaves.select("h", k.alias("k"), F.col("value").cast("long").alias("value")).filter("k < 3")
+    return leaves.select("h", k.alias("k"), F.col("value").cast("long").alias("value"))
 
 
 def _variants(b: Bridge):
@@ -111,11 +111,11 @@ def b15(b: Bridge):
     return reports.header_rows(rows, "h", ["size", "double"])
 
 
-@query("b16", f"WITH {FN} SELECT handle, lag(file) OVER (ORDER BY handle) IS DISTINCT FROM file AS is_break FROM fn")
+@query("b16", f"WITH {FN}, g AS (SELECT handle * 3 + handle % 2 AS handle, file FROM fn) SELECT handle, lag(file) OVER (ORDER BY handle) IS DISTINCT FROM file AS is_break FROM g")
 def b16(b: Bridge):
-    """A report names the file wherever it changes from one function to the next."""
-    before = b.functions.select((F.col("handle") + 1).alias("handle"), F.col("file").alias("before_"))
-    return b.functions.join(before, "handle", "left").select("handle", (~F.col("before_").eqNullSafe(F.col("file"))).alias("is_break"))
+    """A report names the file wherever it changes from one function to the next, whatever gaps their handles have."""
+    rows = b.functions.select((F.col("handle") * 3 + F.col("handle") % 2).alias("handle"), "file")
+    return reports.file_breaks(rows, "file").select("handle", "is_break")
 
 
 @query("b17", "SELECT p_name AS name, p_brand AS file FROM part GROUP BY 1, 2")
