@@ -1,4 +1,7 @@
-"""Lookups and changes of the symbol database on the literal cases of its contract."""
+"""Lookups and changes of the symbol database against plain loops over random rows."""
+
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,22 +19,49 @@ def tens(spark):
     return spark.createDataFrame([(i, 10 + i, 1, f"f{i}") for i in range(10)], FUNCTIONS)
 
 
-@pytest.mark.parametrize(
-    ("low", "high", "want"),
-    [(0, 10, []), (21, 30, []), (None, 10, []), (21, None, []), (19, 30, [19]), (19, None, [19]), (5, 15, [10, 11, 12, 13, 14]), (15, 25, [15, 16, 17, 18, 19]), (10, 20, list(range(10, 20))), (0, 0, []), (20, 15, []), (None, None, []), (None, 12, [10, 11])],
-)
-def test_address_ranges(spark, tens, low, high, want):
-    ranges = spark.createDataFrame([(1, low, high)], "r long, low long, high long")
-    got = lookup.in_ranges(ranges, tens.select("handle", "address"))
-    assert sorted(r["address"] for r in got.collect()) == want
-
-
-def test_overlapping(spark):
-    rows = [(1, 0x1000, 0x1000, "a"), (2, 0x2000, 0x1500, "b"), (3, 0x3000, 0x1000, "c"), (4, 0x5000, 0x1000, "d")]
-    symbols = spark.createDataFrame(rows, FUNCTIONS)
-    probes = spark.createDataFrame([(a,) for a in (0, 0x1000, 0x2000, 0x3000, 0x3200, 0x4000, 0x5000, 0x5FFF, 0x6000)], "a long")
-    got = {r["a"]: r["name"] for r in lookup.overlapping(probes, symbols, "a").collect()}
-    assert got == {0: None, 0x1000: "a", 0x2000: "b", 0x3000: "c", 0x3200: "c", 0x4000: None, 0x5000: "d", 0x5FFF: "d", 0x6000: None}
+def random_symbols(seed, n=120, top=4000):
+    r = random.Random(seed)
+    return [(k, r.choice([None, *[r.randrange(top)] * 9]), r.choice([0, 1, 7, 40, 900, 3000]), f"f{k}") for k in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_address_ranges(spark, seed):
+    """Random ranges, wide and narrow, open and turned round, against a scan of all symbols."""
+    r = random.Random(100 + seed)
+    symbols = random_symbols(seed)
+    ends = lambda: r.choice([None, 0, *[r.randrange(-50, 4100)] * 6])
+    ranges = [(k, low := ends(), r.choice([ends(), (low or 0) + r.randrange(30)])) for k in range(200)]
+    got = lookup.in_ranges(spark.createDataFrame(ranges, "r long, low long, high long"), spark.createDataFrame(symbols, FUNCTIONS).select("handle", "address"))
+    want = [(k, h) for k, low, high in ranges if (low, high) != (None, None) for h, a, _, _ in symbols if a is not None and (low is None or a >= low) and (high is None or a < high)]
+    assert sorted((x["r"], x["handle"]) for x in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_overlapping(spark, seed):
+    """The nearest start at or below the probe, the last of equal ones, if it reaches over it."""
+    symbols = random_symbols(seed)
+    probes = list(range(0, 4100, 13))
+    want = {}
+    for a in probes:
+        below = [(x, h, size) for h, x, size, _ in symbols if x is not None and x <= a]
+        start, handle, size = max(below, default=(0, None, 0))
+        want[a] = handle if handle is not None and a < start + size else None
+    got = lookup.overlapping(spark.createDataFrame([(a,) for a in probes], "a long"), spark.createDataFrame(symbols, FUNCTIONS), "a").collect()
+    assert {x["a"]: x["handle"] for x in got} == want and len(got) == len(probes)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_points_in_wide_and_narrow_intervals(spark, how):
+    """Intervals of very different lengths that overlap each other."""
+    r = random.Random(7)
+    intervals = [(k, low := r.randrange(100_000), low + r.choice([0, 1, 3, 50, 4000, 90_000])) for k in range(400)]
+    points = [(k, r.choice([None, *[r.randrange(110_000)] * 9])) for k in range(300)] + [(1, 5), (1, 5)]
+    want = []
+    for k, at in points:
+        hits = [i for i, low, high in intervals if at is not None and low <= at < high]
+        want += [(k, at, i) for i in hits] or ([(k, at, None)] if how == "left" else [])
+    got = lookup.interval_join(spark.createDataFrame(points, "k long, at long"), spark.createDataFrame(intervals, "i long, lo_ long, hi_ long"), "at", how)
+    assert sorted(((x["k"], x["at"], x["i"]) for x in got.collect()), key=str) == sorted(want, key=str)
 
 
 def test_overlapping_takes_the_last_of_equal_starts_and_after_the_first(spark):
@@ -50,23 +80,27 @@ def test_lookups_in_empty_lists(spark):
 
 
 def test_names_moves_and_renames(spark):
-    rows = [(1, 0x1000, 4, "A"), (2, 1, 4, "B"), (3, 2, 4, "B"), (4, 3, 4, "C"), (5, 4, 4, "C"), (6, 5, 4, "C")]
+    r = random.Random(3)
+    rows = [(k, k * 4, 4, r.choice("pqrstu")) for k in range(40)]
     db = SymbolDb({"functions": spark.createDataFrame(rows, FUNCTIONS)})
-    assert {r["name"]: r["n"] for r in lookup.by_name(db["functions"]).collect()} == {"A": 1, "B": 2, "C": 3}
-    moved = db.move("functions", spark.createDataFrame([(1, 0x2000), (2, None)], "handle long, new_address long"))
-    assert {r["handle"]: r["address"] for r in moved["functions"].filter("handle < 3").collect()} == {1: 0x2000, 2: None}
-    renamed = db.rename("functions", spark.createDataFrame([(1, "Z")], "handle long, new_name string"))
-    assert renamed["functions"].filter("name = 'Z'").count() == 1 and renamed["functions"].filter("name = 'A'").count() == 0
+    assert {x["name"]: x["n"] for x in lookup.by_name(db["functions"]).collect()} == Counter(n for *_, n in rows)
+    moves = {k: r.choice([None, 10_000 + k]) for k in range(0, 40, 3)}
+    moved = db.move("functions", spark.createDataFrame(list(moves.items()), "handle long, new_address long"))
+    assert {x["handle"]: x["address"] for x in moved["functions"].collect()} == {k: moves.get(k, a) for k, a, _, _ in rows}
+    names = {k: f"new{k}" for k in range(1, 40, 5)}
+    renamed = db.rename("functions", spark.createDataFrame(list(names.items()), "handle long, new_name string"))
+    assert {x["handle"]: x["name"] for x in renamed["functions"].collect()} == {k: names.get(k, n) for k, _, _, n in rows}
 
 
 def test_merge_joins_sources_of_one_name(spark):
     def db(shift, names):
-        return SymbolDb({"symbol_sources": spark.createDataFrame([(shift + k, n) for k, n in enumerate(names)], "handle long, name string"), "functions": spark.createDataFrame([(shift + k, shift + k, f"f{n}") for k, n in enumerate(names)], "handle long, source_handle long, name string")})
+        return SymbolDb({"symbol_sources": spark.createDataFrame([(shift + k, n) for k, n in enumerate(names)], "handle long, name string"), "functions": spark.createDataFrame([(shift + k, shift + k, f"f{shift + k}") for k in range(len(names))], "handle long, source_handle long, name string")})
 
-    merged = db(0, ["Source"]).merge(db(10, ["Source", "Other Source"]))
-    assert merged["symbol_sources"].count() == 2
-    names = {r["handle"]: r["name"] for r in merged["symbol_sources"].collect()}
-    assert {r["name"]: names[r["source_handle"]] for r in merged["functions"].collect()} == {"fSource": "Source", "fOther Source": "Other Source"}
+    sides = ((0, ["x", "y", "z"]), (10, ["y", "w"]), )
+    merged = db(*sides[0]).merge(db(*sides[1]))
+    names = {x["handle"]: x["name"] for x in merged["symbol_sources"].collect()}
+    assert sorted(names.values()) == ["w", "x", "y", "z"] and names[1] == "y"
+    assert {x["name"]: names[x["source_handle"]] for x in merged["functions"].collect()} == {f"f{shift + k}": n for shift, ns in sides for k, n in enumerate(ns)}
 
 
 def test_destroying_cascades(spark):
