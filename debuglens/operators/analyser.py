@@ -176,7 +176,6 @@ def signed(value: int) -> int:
 
 
 INPUT = ["file", "sym_idx", "value", "symbol_type", "symbol_class", "index", "string", "base", "frame_size"]
-MORE = {"path": "string", "module": "long"}
 
 
 def analyse(symbols: DataFrame, externals: DataFrame | None = None, strict: bool = True) -> DataFrame:
@@ -190,18 +189,22 @@ def analyse(symbols: DataFrame, externals: DataFrame | None = None, strict: bool
     malformed fails the query if strict; otherwise it gives no rows, like a transaction that is
     taken back, and faults() tells why.
     """
-    return _analysed(symbols, externals, strict).filter("entity <> 'fault'")
+    rows = folded(symbols, strict)
+    if externals is not None:
+        owners = symbols.groupBy("file").agg(F.first("module", True).alias("module")) if "module" in symbols.columns and "module" in externals.columns else None
+        rows = located(cut(rows), externals, owners)
+    return rows.filter("entity <> 'fault'")
 
 
 def faults(symbols: DataFrame) -> DataFrame:
     """(file, message) of the files that analyse(strict=False) leaves out."""
-    return _analysed(symbols, None, False).filter("entity = 'fault'").select("file", F.col("name").alias("message"))
+    return folded(symbols, False).filter("entity = 'fault'").select("file", F.col("name").alias("message"))
 
 
-def _analysed(symbols: DataFrame, externals: DataFrame | None, strict: bool) -> DataFrame:
+def folded(symbols: DataFrame, strict: bool) -> DataFrame:
+    """Entity rows, without the addresses that only external symbols know; entity fault names what is wrong with a file."""
     ready(symbols.sparkSession)
-    there = set(symbols.columns)
-    placed = symbols.select(*INPUT, *[F.col(n) if n in there else F.lit(None).cast(t).alias(n) for n, t in MORE.items()])
+    placed = symbols.select(*INPUT, F.col("path") if "path" in symbols.columns else F.lit(None).cast("string").alias("path"))
 
     def run(batches):
         fold, bad = None, False
@@ -245,25 +248,20 @@ def _analysed(symbols: DataFrame, externals: DataFrame | None, strict: bool) ->
             yield pa.RecordBatch.from_pylist(held, SCHEMA)
 
     ordered = placed.repartition("file").sortWithinPartitions("file", "sym_idx")
-    out = ordered.select(*INPUT, "path").mapInArrow(run, COLUMNS)
-    if externals is None:
-        return out
-    out = cut(out)
-    with_module = "module" in there and "module" in externals.columns
+    return ordered.mapInArrow(run, COLUMNS)
+
+
+def located(rows: DataFrame, externals: DataFrame, owners: DataFrame | None) -> DataFrame:
+    """rows with the address and place of global variables that aren't static; owners has (file, module) if externals have a module."""
     key = ["module_", "name"]
-    named = externals.select(F.col("module") if with_module else F.lit(None).cast("long").alias("module"), F.col("string").alias("name"), "value", "symbol_class", *(["sym_idx"] if "sym_idx" in externals.columns else []))
-    named = named.withColumn("module_", F.coalesce("module", F.lit(-1)))
     order = F.col("sym_idx") if "sym_idx" in externals.columns else F.col("value")
-    first = named.groupBy(key).agg(F.min_by(F.struct("value", "symbol_class"), order).alias("found_"))
-    place = F.col("found_.symbol_class")
-    if with_module:
-        owners = placed.groupBy("file").agg(F.first("module", True).alias("module_"))
-        out = out.join(owners, "file", "left")
-    else:
-        out = out.withColumn("module_", F.lit(None).cast("long"))
-    out = out.withColumn("module_", F.coalesce("module_", F.lit(-1)))
-    wanted = (F.col("entity") == "global") & ~F.col("is_static")
-    told = out.filter(wanted).join(first, key, "left").withColumn("address", F.coalesce("found_.value", "address"))
-    located = F.create_map(*[F.lit(x) for k, v in LOCATIONS.items() for x in (k, v)])
-    told = told.withColumn("storage", F.coalesce(F.try_element_at(located, place.cast("int")), "storage")).drop("found_")
-    return out.filter(~F.coalesce(wanted, F.lit(False))).unionByName(told).drop("module_")
+    module = F.lit(-1).cast("long") if owners is None else F.coalesce("module", F.lit(-1).cast("long"))
+    named = externals.select(module.alias("module_"), F.col("string").alias("name"), F.struct("value", "symbol_class").alias("of_"), order.alias("order_"))
+    first = named.groupBy(key).agg(F.min_by("of_", "order_").alias("found_"))
+    wanted = F.coalesce((F.col("entity") == "global") & ~F.col("is_static"), F.lit(False))
+    sought = rows.filter(wanted)
+    sought = sought.withColumn("module_", F.lit(-1).cast("long")) if owners is None else sought.join(owners.select("file", module.alias("module_")), "file")
+    places = F.create_map(*[F.lit(x) for k, v in LOCATIONS.items() for x in (k, v)])
+    told = sought.join(first, key, "left").withColumn("address", F.coalesce("found_.value", "address"))
+    told = told.withColumn("storage", F.coalesce(F.try_element_at(places, F.col("found_.symbol_class").cast("int")), "storage"))
+    return rows.filter(~wanted).unionByName(told.drop("found_", "module_"))

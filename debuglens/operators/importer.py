@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from debuglens.functions.demangle import demangle
 from debuglens.operators import lookup, passes
-from debuglens.operators.analyser import analyse, faults
+from debuglens.operators.analyser import folded, located
 from debuglens.operators.database import SymbolDb
 from debuglens.session import cut, ready
 from debuglens.sources import decode, tables
@@ -138,29 +138,32 @@ ENTITIES = {"function": "functions", "parameter": "parameter_variables", "local"
 
 def _mdebug(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entity rows of the .mdebug sections, and (module_handle, message) of modules with malformed symbols."""
-    symbols = tables.mdebug_table(images, "symbols", tables.MDEBUG)
-    files = cut(tables.mdebug_table(images, "files", tables.MFILES))
-    procedures = tables.mdebug_table(images, "procedures", tables.PROCEDURES).select("module_handle", "file_idx", F.col("symbol_index").alias("sym_idx"), "frame_size")
-    externals = tables.mdebug_table(images, "externals", tables.EXTERNALS).withColumnRenamed("module_handle", "module")
+    read = cut(tables.mdebug_all(images))
+    part = lambda name, columns: read.filter(F.col("part") == name).select("module_handle", *columns)
+    procedures = part("procedures", ["file_idx", F.col("symbol_index").alias("sym_idx"), "frame_size"])
     # a file's number is its place among all files
-    units = cut(numbered(files.select("module_handle", "file_idx", "address", "path"), "module_handle", "file_idx", name="file"))
+    units = numbered(part("files", ["file_idx", "address", "path"]), "module_handle", "file_idx", name="file")
+    symbols = part("symbols", ["file_idx", "sym_idx", "value", "symbol_type", "symbol_class", "index", "string"])
     joined = symbols.join(units.select("module_handle", "file_idx", "file", F.col("address").alias("base"), "path"), ["module_handle", "file_idx"]).join(procedures, ["module_handle", "file_idx", "sym_idx"], "left")
-    keyed = cut(joined.withColumnRenamed("module_handle", "module"))
     owners = units.select("file", "module_handle")
-    broken = faults(keyed).join(owners, "file").select("module_handle", "message")
-    found = analyse(keyed, externals, strict=False).join(owners, "file").join(broken.select("module_handle").distinct(), "module_handle", "left_anti")
+    rows = cut(folded(joined, False).join(owners, "file"))
+    broken = cut(rows.filter("entity = 'fault'").select("module_handle", F.col("name").alias("message")))
+    externals = part("externals", ["sym_idx", "value", "symbol_class", "string"]).withColumnRenamed("module_handle", "module")
+    found = located(rows.join(broken.select("module_handle").distinct(), "module_handle", "left_anti"), externals, owners.withColumnRenamed("module_handle", "module"))
     kind = F.create_map(*[F.lit(x) for k, v in ENTITIES.items() for x in (k, v)])
     kept = found.filter(F.col("entity").isin(*ENTITIES))
     entities = _shaped(kept, MDEBUG, kind=F.try_element_at(kind, F.col("entity")), unit=F.col("file"))
     ok = units.join(broken.select("module_handle").distinct(), "module_handle", "left_anti")
     sources = _shaped(ok, MDEBUG, kind=F.lit("source_files"), unit=F.col("file"), seq=F.lit(-1), name=F.col("path"))
-    return entities.unionByName(sources), cut(broken)
+    return entities.unionByName(sources), broken
 
 
 def _dwarf(images: DataFrame, overlay: int | None) -> DataFrame:
     """Entity rows of .debug sections: source files from units, functions from subroutines, and named types."""
     sections = tables.decoded(images, _debug, "debug binary")
-    entries, attrs = cut(tables.dwarf_entries(sections)), cut(tables.dwarf_attributes(sections))
+    read = cut(tables.dwarf_all(sections))
+    entries = read.filter("part = 'entry'").select("module_handle", "die", "tag", "parent", "depth")
+    attrs = read.filter("part = 'attr'").select("module_handle", "die", "seq", "attr", "number", "text")
     told = tables.scanned(attrs, ["name", "mangled_name", "low_pc", "high_pc", "overlay_id", "byte_size"])
     known = entries.join(told, ["module_handle", "die"], "left")
     number = lambda c: F.col(c).cast("long")

@@ -126,6 +126,30 @@ def mdebug_table(files: DataFrame, part: str, columns: str, strict: bool = True)
     return decoded(files, rows, columns, strict)
 
 
+MDEBUG_ALL = "part string, file_idx long, sym_idx long, value long, symbol_type long, symbol_class long, index long, string string, address long, path string, working_dir string, symbol_index long, frame_size long"
+
+
+def mdebug_all(files: DataFrame, strict: bool = True) -> DataFrame:
+    """The rows of all tables of the .mdebug sections in one pass; part names the table."""
+
+    def rows(content):
+        section = decode.section_named(decode.elf(content)["sections"], ".mdebug")
+        found = decode.mdebug(content, section["offset"]) if section else {}
+        return [r | {"part": part} for part, rs in found.items() for r in rs]
+
+    return decoded(files, rows, MDEBUG_ALL, strict)
+
+
+def dwarf_all(files: DataFrame, strict: bool = True) -> DataFrame:
+    """Entries and attributes in one pass; part is entry or attr. files: (key, bytes of .debug)."""
+
+    def rows(content):
+        entries, attrs = decode.dies(content)
+        return [r | {"part": "entry"} for r in entries] + [r | {"part": "attr"} for r in attrs]
+
+    return decoded(files, rows, f"part string, {DIES}, {ATTRS.removeprefix('die long, ')}", strict)
+
+
 def dwarf_entries(files: DataFrame, strict: bool = True) -> DataFrame:
     """files: (key, bytes of .debug)."""
     return decoded(files, lambda c: decode.dies(c)[0], DIES, strict)
