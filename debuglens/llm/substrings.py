@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from debuglens.llm.common import attach, cut, ready, text_bytes
+from debuglens.llm.common import BROADCAST_ROWS, attach, cut, ready, text_bytes
 
 LENGTH = 400
 GRAM = 16
@@ -168,6 +168,11 @@ def _frequent(docs: DataFrame, tests, sample: int = SAMPLE) -> DataFrame:
     return cut(some.groupBy("core").count().filter(F.col("count") >= MEET // sample).select("core"))
 
 
+def _beside(rows: DataFrame, frequent: DataFrame, has: int, how: str) -> DataFrame:
+    """rows with (inner) or without (left_anti) the has frequent common parts, broadcast if they fit the bound of counted tables."""
+    return rows.join(F.broadcast(frequent), "core", how) if has <= BROADCAST_ROWS else attach(rows, frequent, "core", how, small=False)
+
+
 def _decided(tests: DataFrame, frequent: DataFrame) -> DataFrame:
     """tests whose common part occurs twice, with repeated (all their windows occur elsewhere) and stays (a closer look is due).
 
@@ -177,14 +182,14 @@ def _decided(tests: DataFrame, frequent: DataFrame) -> DataFrame:
     """
     known = tests.filter("core IS NOT NULL")
     has = frequent.count()
-    usual = known.join(F.broadcast(frequent), "core", "left_anti") if has else known
+    usual = _beside(known, frequent, has, "left_anti") if has else known
     string = Window.partitionBy("core", "whole")
     counted = usual.withColumn("n_whole", F.count("whole").over(string)).withColumn("rank", F.row_number().over(string.orderBy("doc_id", "place")))
     part = Window.partitionBy("core")
     counted = counted.withColumn("n_core", F.count("*").over(part)).withColumn("lone", F.min("n_whole").over(part) < 2)
     out = counted.filter("n_core > 1").select("doc_id", "place", "part", "first", "last", (F.col("n_whole") > 1).alias("repeated"), ((F.col("n_whole") < 2) | ((F.col("rank") == 1) & F.col("lone"))).alias("stays"))
     if has:
-        out = out.unionByName(_decided_frequent(known.join(F.broadcast(frequent), "core", "left_semi")))
+        out = out.unionByName(_decided_frequent(_beside(known, frequent, has, "inner")))
     return cut(out)
 
 
@@ -214,8 +219,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     closer = _decided(slices(opened), _frequent(opened, slices))
     windows = cut(_open(opened.select("doc_id", "text"), closer).mapInArrow(_windows, "doc_id long, first long, core long, whole long"))
     frequent = _frequent(windows, lambda d: d)
-    usual = windows.join(F.broadcast(frequent), "core", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("core", "whole")))
-    often = windows.join(F.broadcast(frequent), "core", "left_semi")
+    has = frequent.count()
+    usual = _beside(windows, frequent, has, "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("core", "whole")))
+    often = _beside(windows, frequent, has, "inner")
     twice = often.groupBy("core", "whole").count().filter(F.col("count") > 1).select("core", "whole")
     again = usual.filter("n > 1").select("doc_id", "first").unionByName(often.join(twice, ["core", "whole"]).select("doc_id", "first"))
     run = ["doc_id", (F.col("place") - F.col("first")).alias("first"), (F.col("place") - F.col("last")).alias("last")]
