@@ -41,8 +41,58 @@ def dot_lines(nodes: DataFrame, edges: DataFrame, name: str = "type_dependencies
     return head.unionByName(node).unionByName(edge)
 
 
+def _place() -> Column:
+    """An address of eight digits; none has all bits set."""
+    return C.hex8(F.coalesce("address", F.lit(C.MASK32)))
+
+
 def label_lines(symbols: DataFrame) -> DataFrame:
-    return symbols.select("handle", F.concat(C.hex8(F.coalesce("address", F.lit(C.MASK32))), F.lit(" "), "name").alias("line"))
+    return symbols.select("handle", F.concat(_place(), F.lit(" "), "name").alias("line"))
+
+
+def file_lines(files: DataFrame) -> DataFrame:
+    """(handle, line) of source files: address and path."""
+    return label_lines(files)
+
+
+def section_lines(sections: DataFrame) -> DataFrame:
+    """(handle, line) of sections: address, size and name."""
+    return sections.select("handle", F.concat(_place(), F.lit(" "), C.hex8(F.coalesce("size", F.lit(0))), F.lit(" "), "name").alias("line"))
+
+
+def include_lines(includes: DataFrame, path: str) -> DataFrame:
+    """(path, line) of the distinct included files; sort by path to write them."""
+    return includes.filter(F.col(path).isNotNull()).select(F.col(path).alias("path")).distinct().select("path", F.concat(F.lit('#include "'), "path", F.lit('"')).alias("line"))
+
+
+def elf_lines(symbols: DataFrame) -> DataFrame:
+    """Rows of ELF symbol tables as lines in columns: value, size, type, binding, visibility, name."""
+    kind = C.lookup({0: "NOTYPE", 1: "OBJECT", 2: "FUNC", 3: "SECTION", 4: "FILE"}, F.col("type").cast("int"))
+    bind = C.lookup({0: "LOCAL", 1: "GLOBAL", 2: "WEAK"}, F.col("bind").cast("int"))
+    shown = C.lookup({0: "DEFAULT", 1: "INTERNAL", 2: "HIDDEN", 3: "PROTECTED"}, F.col("visibility").cast("int"))
+    return symbols.withColumn("line", F.format_string("%08x %8d %-8s%-8s%-10s%s", "value", "size", F.coalesce(kind, F.lit("?")), F.coalesce(bind, F.lit("?")), F.coalesce(shown, F.lit("?")), "name"))
+
+
+def sndll_lines(symbols: DataFrame) -> DataFrame:
+    """Rows of SNDLL tables as lines: type, value, name."""
+    kind = C.lookup({0: "NIL", 1: "EXTERNAL", 2: "RELATIVE", 3: "WEAK", 4: "ABSOLUTE"}, F.col("type").cast("int"))
+    return symbols.withColumn("line", F.format_string("%8s %08x %s", F.coalesce(kind, F.col("type").cast("string")), "value", F.coalesce("string", F.lit(""))))
+
+
+def mdebug_lines(symbols: DataFrame) -> DataFrame:
+    """Local symbols of .mdebug sections as lines: value, type, class, index, and the stabs code of those that have one."""
+    code = C.stabs_code(F.col("index"))
+    mark = F.coalesce(F.concat(F.lit("stab "), F.hex(code)), F.concat(F.lit("index "), F.col("index").cast("string")))
+    return symbols.withColumn("line", F.format_string("%08x %2d %2d %-14s%s", "value", "symbol_type", "symbol_class", mark, "string"))
+
+
+def dwarf_lines(entries: DataFrame, attrs: DataFrame, key: str) -> DataFrame:
+    """(key, die, seq, line): an entry's line, indented by its depth, then a line for each attribute."""
+    tabs = lambda extra: F.repeat(F.lit("\t"), (F.col("depth") + extra).cast("int"))
+    value = F.coalesce(F.concat(F.lit('"'), F.col("text"), F.lit('"')), F.concat(F.lit("0x"), C.hex_plain(F.col("number"))), F.concat(F.lit("bytes "), F.hex("block")))
+    head = entries.select(key, "die", F.lit(-1).cast("long").alias("seq"), F.concat(tabs(0), F.col("tag")).alias("line"))
+    body = attrs.join(entries.select(key, "die", "depth"), [key, "die"]).select(key, "die", "seq", F.concat(tabs(1), F.col("attr"), F.lit(" "), value).alias("line"))
+    return head.unionByName(body)
 
 
 def stack_comment(offset: Column, frame: Column, caller: bool = False) -> Column:

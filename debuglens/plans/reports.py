@@ -78,10 +78,39 @@ def j07(b: Bridge):
     return kept.select("name", F.coalesce(F.col("reason") == "differs: size", F.lit(False)).alias("differs"))
 
 
-@query("b01", f"WITH {FN}, {GV} SELECT CAST((SELECT count(*) FROM fn) + (SELECT count(*) FROM gv) + 5 AS BIGINT) AS lines")
+#: The nine lists of a document, each from the whole of a table.
+NINE = {
+    "data_types": ("part", "p_partkey", "p_type", None),
+    "functions": ("part", "p_partkey", "p_name", "p_partkey * 64"),
+    "global_variables": ("supplier", "s_suppkey", "s_name", "s_suppkey * 640"),
+    "labels": ("customer", "c_custkey", "c_name", "c_custkey * 8"),
+    "local_variables": ("orders", "o_orderkey", "o_orderstatus", None),
+    "modules": ("region", "r_regionkey", "r_name", None),
+    "parameter_variables": ("events", "event_id", "event_type", None),
+    "sections": ("nation", "n_nationkey", "n_name", "n_nationkey * 4096"),
+    "source_files": ("nation", "n_nationkey", "n_name", "n_nationkey * 4096"),
+}
+NINE_SQL = " UNION ALL ".join(f"SELECT '{kind}' AS kind, CAST({key} AS BIGINT) AS handle, {name} AS name, CAST({address or 'NULL'} AS BIGINT) AS address FROM {table}" for kind, (table, key, name, address) in NINE.items())
+
+
+def _nine(b: Bridge):
+    return {kind: b.table(table).selectExpr(f"CAST({key} AS BIGINT) AS handle", f"{name} AS name", f"CAST({address or 'NULL'} AS BIGINT) AS address", "CAST(NULL AS BIGINT) AS size") for kind, (table, key, name, address) in NINE.items()}
+
+
+@query("b01", f"SELECT kind, handle, name, address FROM ({NINE_SQL}) q")
 def b01(b: Bridge):
-    lists = {"functions": reports.symbol_json(b.functions), "global_variables": reports.symbol_json(b.globals)}
-    return reports.document_lines(lists, "debuglens").agg(F.count("*").alias("lines"))
+    """One document of nine lists, read again from its lines: a list's head says whose the lines after it are."""
+    lines = reports.document_lines({kind: reports.symbol_json(rows) for kind, rows in _nine(b).items()}, "debuglens")
+    kinds = F.create_map(*[F.lit(x) for k, kind in enumerate(NINE) for x in (2 * k + 2, kind)])
+    body = lines.filter(F.try_element_at(kinds, F.col("part")).isNotNull() & F.startswith("line", F.lit("{")))
+    said = F.from_json(F.regexp_replace("line", ",$", ""), "name string, address long")
+    return body.select(F.try_element_at(kinds, F.col("part")).alias("kind"), F.col("ord").alias("handle"), said.alias("j")).select("kind", "handle", "j.name", "j.address")
+
+
+@query("b01_whole", f"SELECT count(*) + 1 + {len(NINE)} + 2 AS lines FROM ({NINE_SQL}) q")
+def b01_whole(b: Bridge):
+    lines = reports.document_lines({kind: reports.symbol_json(rows) for kind, rows in _nine(b).items()}, "debuglens")
+    return lines.agg(F.count("*").alias("lines"))
 
 
 @query("b02", f"WITH {FN} SELECT handle, CASE WHEN handle % 3 <> 0 THEN name END AS name, CASE WHEN handle % 5 <> 0 THEN address END AS address, CASE WHEN size % 2 <> 0 THEN size END AS size FROM fn")
@@ -105,10 +134,20 @@ def b13(b: Bridge):
     return reports.dot_lines(nodes, graph.dependencies(made)).select("line")
 
 
-@query("b15", "SELECT p_partkey AS h, v.field, CASE v.field WHEN 'size' THEN CAST(p_size AS BIGINT) ELSE p_partkey * 2 END AS value FROM part, (VALUES ('size'), ('double')) v(field)")
+@query("b15", "SELECT p_brand AS file, v.field, CASE v.field WHEN 'magic' THEN 28681 WHEN 'file_descriptor_count' THEN 1 WHEN 'procedure_descriptor_count' THEN 1 ELSE count(*) END AS value FROM part, (VALUES ('magic'), ('file_descriptor_count'), ('procedure_descriptor_count'), ('local_symbol_count'), ('external_symbols_count')) v(field) GROUP BY 1, 2")
 def b15(b: Bridge):
-    rows = b.table("part").select(F.col("p_partkey").alias("h"), F.col("p_size").cast("long").alias("size"), (F.col("p_partkey") * 2).alias("double"))
-    return reports.header_rows(rows, "h", ["size", "double"])
+    """The symbolic headers of .mdebug sections, a line for each field."""
+    from debuglens.plans.formats import _brands, _forged, _mdebug
+    from debuglens.sources import decode, layout, tables
+
+    fields = ["magic", "file_descriptor_count", "procedure_descriptor_count", "local_symbol_count", "external_symbols_count"]
+
+    def rows(content):
+        section = decode.section_named(decode.elf(content)["sections"], ".mdebug")
+        return [layout.SYMBOLIC_HEADER.read(content, section["offset"], "symbolic header")]
+
+    headers = tables.decoded(_forged(_brands(b), "file", _mdebug), rows, ", ".join(f"{f} long" for f in fields))
+    return reports.header_rows(headers, "file", fields)
 
 
 @query("b16", f"WITH {FN}, g AS (SELECT handle * 3 + handle % 2 AS handle, file FROM fn) SELECT handle, lag(file) OVER (ORDER BY handle) IS DISTINCT FROM file AS is_break FROM g")
@@ -128,6 +167,59 @@ def b18(b: Bridge):
     return reports.label_lines(b.functions)
 
 
+@query("b18_files", f"WITH {SF} SELECT handle, lpad(lower(to_hex(address)), 8, '0') || ' ' || name AS line FROM sf")
+def b18_files(b: Bridge):
+    return reports.file_lines(b.source_files)
+
+
+@query("b18_sections", f"WITH {SF} SELECT handle, lpad(lower(to_hex(address)), 8, '0') || ' ' || lpad(lower(to_hex(size)), 8, '0') || ' ' || name AS line FROM sf")
+def b18_sections(b: Bridge):
+    return reports.section_lines(b.source_files)
+
+
+@query("b18_includes", "SELECT DISTINCT '#include \"' || p_type || '.h\"' AS line FROM part")
+def b18_includes(b: Bridge):
+    rows = b.table("part").select(F.concat("p_type", F.lit(".h")).alias("path"))
+    return reports.include_lines(rows, "path").select("line")
+
+
+@query("b14_elf", "SELECT p_brand AS file, lpad(lower(to_hex(p_partkey * 64)), 8, '0') || ' ' || lpad(CAST(p_size AS VARCHAR), 8, ' ') || ' ' || rpad(['NOTYPE', 'OBJECT', 'FUNC', 'SECTION', 'FILE'][p_partkey % 5 + 1], 8, ' ') || 'GLOBAL  ' || rpad(['DEFAULT', 'INTERNAL', 'HIDDEN', 'PROTECTED'][p_partkey % 4 + 1], 10, ' ') || p_name || '_' || p_partkey AS line FROM part")
+def b14_elf(b: Bridge):
+    from debuglens.plans.formats import _brands, _elf, _forged
+    from debuglens.sources import tables
+
+    return reports.elf_lines(tables.elf_symbols(_forged(_brands(b), "file", _elf))).select("file", "line")
+
+
+@query("b14_sndll", "SELECT p_brand AS file, lpad(['NIL', 'EXTERNAL', 'RELATIVE', 'WEAK', 'ABSOLUTE', '5'][p_partkey % 6 + 1], 8, ' ') || ' ' || lpad(lower(to_hex(p_partkey * 8)), 8, '0') || ' ' || CASE WHEN p_partkey % 7 <> 0 THEN p_name ELSE '' END AS line FROM part")
+def b14_sndll(b: Bridge):
+    from debuglens.plans.formats import _brands, _forged, _sndll
+    from debuglens.sources import tables
+
+    files = _forged(_brands(b), "file", _sndll).withColumn("address", F.lit(None).cast("long"))
+    return reports.sndll_lines(tables.sndll_symbols(files)).select("file", "line")
+
+
+@query("b14_mdebug", "SELECT p_brand AS file, lpad(lower(to_hex(p_partkey)), 8, '0') || '  0 ' || lpad(CAST(p_partkey % 20 AS VARCHAR), 2, ' ') || ' ' || 'stab 80       ' || p_name || ':t' || p_partkey || '=0' AS line FROM part")
+def b14_mdebug(b: Bridge):
+    from debuglens.plans.formats import _brands, _forged, _mdebug
+    from debuglens.sources import tables
+
+    return reports.mdebug_lines(tables.mdebug_table(_forged(_brands(b), "file", _mdebug), "symbols", tables.MDEBUG)).select("file", "line")
+
+
+@query("b14_dwarf", "SELECT p_brand AS file, line FROM part, (VALUES (0), (1), (2), (3)) v(k), LATERAL (SELECT CASE k WHEN 0 THEN chr(9) || 'subroutine' WHEN 1 THEN chr(9) || chr(9) || 'name \"' || p_name || '\"' WHEN 2 THEN chr(9) || chr(9) || 'low_pc 0x' || lower(to_hex(p_partkey * 64)) ELSE chr(9) || chr(9) || 'high_pc 0x' || lower(to_hex(p_partkey * 64 + p_size)) END AS line) l UNION ALL SELECT file, line FROM (SELECT p_brand AS file, p_type AS unit, min(p_partkey) AS low FROM part GROUP BY 1, 2) q, (VALUES (0), (1), (2)) v(k), LATERAL (SELECT CASE k WHEN 0 THEN 'compile_unit' WHEN 1 THEN chr(9) || 'name \"' || unit || '\"' ELSE chr(9) || 'low_pc 0x' || lower(to_hex(low)) END AS line) l")
+def b14_dwarf(b: Bridge):
+    """Entries and attributes of .debug sections as indented lines, but for the places of siblings."""
+    from debuglens.plans.formats import _brands, _debug, _forged
+    from debuglens.sources import tables
+
+    read = tables.dwarf_all(_forged(_brands(b), "file", _debug))
+    entries = read.filter("part = 'entry'").select("file", "die", "tag", "depth")
+    attrs = read.filter("part = 'attr' AND attr <> 'sibling'").select("file", "die", "seq", "attr", "number", "text", "block")
+    return reports.dwarf_lines(entries, attrs, "file").select("file", "line")
+
+
 @query("b19", "SELECT CASE p_partkey % 4 WHEN 0 THEN 'ELF' WHEN 3 THEN 'unknown' ELSE 'SNDLL' END AS type, count(*) AS n FROM part GROUP BY 1")
 def b19(b: Bridge):
     from debuglens.plans.formats import a04
