@@ -184,7 +184,9 @@ def line_templates(docs: DataFrame, documents: int = DOCUMENTS, batch_rows: int
     # a template of several lines, each of few documents: its documents are told apart
     doubtful = sums.filter(F.col("most") < documents).select("template")
     few = attach(counted.filter(F.col("n") < documents).select("line", "template"), doubtful, "template")
-    apart = few.join(lines.select("doc_id", "line"), "line").select("template", "doc_id").distinct().groupBy("template").count().filter(F.col("count") >= documents).select("template")
+    # only lines of few documents are dealt by line
+    told = attach(lines.select("doc_id", "line"), few.select("line").distinct(), "line")
+    apart = few.join(told, "line").select("template", "doc_id").distinct().groupBy("template").count().filter(F.col("count") >= documents).select("template")
     often = sums.filter(F.col("most") >= documents).select("template", "first").unionByName(sums.join(apart, "template").select("template", "first"))
     firsts = attach(made, often, "template").groupBy("line").agg(F.min(F.struct("first", "template")).alias("f")).select("line", "f.first", "f.template")
     return attach(lines.select("doc_id", "line"), firsts, "line", "inner", F.lit(2)).select("doc_id", "line", "template", "first")
