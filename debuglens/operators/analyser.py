@@ -7,11 +7,13 @@ one function at a time and gives its rows when the function ends.
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from debuglens.functions import stabs
+from debuglens.functions import ast, stabs
 from debuglens.session import cut, ready
 
 STABS_BASE = 0x8F300
@@ -26,9 +28,9 @@ PARAMETERS = {"value_parameter": (True, False), "register_parameter": (False, Fa
 
 SCHEMA = pa.schema(
     [("file", pa.int64()), ("seq", pa.int64()), ("entity", pa.string()), ("name", pa.string()), ("owner", pa.int64()), ("address", pa.int64()), ("size", pa.int64())]
-    + [("storage", pa.string()), ("number", pa.int64()), ("is_by_reference", pa.bool_()), ("is_static", pa.bool_()), ("low", pa.int64()), ("high", pa.int64()), ("path", pa.string()), ("type_kind", pa.string()), ("file_no", pa.int64()), ("type_no", pa.int64())]
+    + [("storage", pa.string()), ("number", pa.int64()), ("is_by_reference", pa.bool_()), ("is_static", pa.bool_()), ("low", pa.int64()), ("high", pa.int64()), ("path", pa.string()), ("type_kind", pa.string()), ("file_no", pa.int64()), ("type_no", pa.int64()), ("tree", pa.string())]
 )
-COLUMNS = "file long, seq long, entity string, name string, owner long, address long, size long, storage string, number long, is_by_reference boolean, is_static boolean, low long, high long, path string, type_kind string, file_no long, type_no long"
+COLUMNS = "file long, seq long, entity string, name string, owner long, address long, size long, storage string, number long, is_by_reference boolean, is_static boolean, low long, high long, path string, type_kind string, file_no long, type_no long, tree string"
 
 
 class MalformedSymbols(ValueError):
@@ -38,8 +40,10 @@ class MalformedSymbols(ValueError):
 class Fold:
     """One file's state; feed() takes symbols in order, and rows are ready after each call."""
 
-    def __init__(self, file: int, base: int = 0, path: str = ""):
+    def __init__(self, file: int, base: int = 0, path: str = "", trees: bool = False):
         self.file, self.base, self.path = file, base, path
+        #: The file's type definitions by number, if rows are to have the trees of their types.
+        self.types: dict | None = {} if trees else None
         #: Whether faults of this file's symbols are errors; not after a string that the compiler cut off.
         self.strict = True
         self.rows: list[dict] = []
@@ -118,6 +122,9 @@ class Fold:
     def parsed(self, s: dict, p: stabs.Symbol) -> None:
         seq, number = s["sym_idx"], p.type.number or (None, None)
         shape = {"type_kind": p.type.kind, "file_no": number[0], "type_no": number[1]}
+        if self.types is not None:
+            p.type.numbered(self.types)
+            shape["node"] = p.type
         if p.descriptor in ("local_function", "global_function"):
             if not self.enter(p.name, s) and s["value"] > (self.function["address"] or 0):
                 self.function["address"] = s["value"]  # procedures of some files have relative addresses
@@ -169,6 +176,10 @@ class Fold:
         if self.beginning:
             raise MalformedSymbols("the symbols end inside a function")
         self.leave()
+        for r in self.rows if self.types is not None else ():
+            # a type may be used before it is defined
+            if (node := r.pop("node", None)) is not None:
+                r["tree"] = json.dumps(ast.from_stabs(node, self.types), sort_keys=True)
 
 
 def signed(value: int) -> int:
@@ -201,8 +212,11 @@ def faults(symbols: DataFrame) -> DataFrame:
     return folded(symbols, False).filter("entity = 'fault'").select("file", F.col("name").alias("message"))
 
 
-def folded(symbols: DataFrame, strict: bool) -> DataFrame:
-    """Entity rows, without the addresses that only external symbols know; entity fault names what is wrong with a file."""
+def folded(symbols: DataFrame, strict: bool, trees: bool = False) -> DataFrame:
+    """Entity rows, without the addresses that only external symbols know; entity fault names what is wrong with a file.
+
+    tree is the JSON text of a row's type if trees are wanted; a task then holds the rows of one file.
+    """
     ready(symbols.sparkSession)
     placed = symbols.select(*INPUT, F.col("path") if "path" in symbols.columns else F.lit(None).cast("string").alias("path"))
 
@@ -227,7 +241,7 @@ def folded(symbols: DataFrame, strict: bool) -> DataFrame:
                 if fold is None or fold.file != s["file"]:
                     if fold is not None and not bad:
                         held += end()
-                    fold, bad = Fold(s["file"], s["base"] or 0, s["path"] or ""), False
+                    fold, bad = Fold(s["file"], s["base"] or 0, s["path"] or "", trees), False
                 if bad:
                     continue
                 try:
@@ -236,7 +250,7 @@ def folded(symbols: DataFrame, strict: bool) -> DataFrame:
                     held += fault(e)
                     bad = True
                 # what isn't strict may have to take a whole file back
-                if strict and len(fold.rows) > 10_000:
+                if strict and not trees and len(fold.rows) > 10_000:
                     held += fold.rows
                     fold.rows = []
                 if len(held) > 10_000:

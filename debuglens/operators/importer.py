@@ -123,7 +123,7 @@ def import_files(files: DataFrame, deduplicate: bool = True, overlay: int | None
     return _lists(rows, whole, bad)
 
 
-COLUMNS = {"module_handle": "long", "source_handle": "long", "kind": "string", "unit": "long", "seq": "long", "owner": "long", "name": "string", "address": "long", "size": "long", "storage": "string", "number": "long", "is_static": "boolean", "low": "long", "high": "long", "path": "string"}
+COLUMNS = {"module_handle": "long", "source_handle": "long", "kind": "string", "unit": "long", "seq": "long", "owner": "long", "name": "string", "address": "long", "size": "long", "storage": "string", "number": "long", "is_static": "boolean", "low": "long", "high": "long", "path": "string", "tree": "string"}
 
 
 def _shaped(rows: DataFrame, source: int, **given) -> DataFrame:
@@ -146,7 +146,7 @@ def _mdebug(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     symbols = part("symbols", ["file_idx", "sym_idx", "value", "symbol_type", "symbol_class", "index", "string"])
     joined = symbols.join(units.select("module_handle", "file_idx", "file", F.col("address").alias("base"), "path"), ["module_handle", "file_idx"]).join(procedures, ["module_handle", "file_idx", "sym_idx"], "left")
     owners = units.select("file", "module_handle")
-    rows = cut(folded(joined, False).join(owners, "file"))
+    rows = cut(folded(joined, False, trees=True).join(owners, "file"))
     broken = cut(rows.filter("entity = 'fault'").select("module_handle", F.col("name").alias("message")))
     externals = part("externals", ["sym_idx", "value", "symbol_class", "string"]).withColumnRenamed("module_handle", "module")
     found = located(rows.join(broken.select("module_handle").distinct(), "module_handle", "left_anti"), externals, owners.withColumnRenamed("module_handle", "module"))
@@ -228,11 +228,11 @@ def _lists(rows: DataFrame, modules: DataFrame, bad: DataFrame) -> SymbolDb:
     base = ["handle", "module_handle", "source_handle", "name", "address", "size"]
     for kind, found in listed.items():
         if kind in ("functions", "global_variables"):
-            found = demangled(found.join(files, key, "left")).select(*base, "mangled_name", "source_file", "storage", F.col("number").alias("frame_size"), "is_static", "path")
+            found = cut(demangled(found.join(files, key, "left"))).select(*base, "mangled_name", "source_file", "storage", F.col("number").alias("frame_size"), "is_static", "path", "tree")
         elif kind in ("local_variables", "parameter_variables"):
-            found = found.join(functions, [*key, "owner"], "left").select(*base, "function", "storage", F.col("number").alias("place"), "low", "high")
+            found = found.join(functions, [*key, "owner"], "left").select(*base, "function", "storage", F.col("number").alias("place"), "low", "high", "tree")
         elif kind == "data_types":
-            found = found.join(files, key, "left").select(*base, "source_file", (F.col("storage") == "typedef").alias("is_typedef"))
+            found = found.join(files, key, "left").select(*base, "source_file", (F.col("storage") == "typedef").alias("is_typedef"), "tree")
         else:
             found = found.select(*base)
         out[kind] = found

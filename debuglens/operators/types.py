@@ -31,8 +31,8 @@ def trees(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("tree", StringType())]))
 
 
-def deduplicated(types: DataFrame) -> DataFrame:
-    """(name, representative, shape, files, reason) of types (name, seq, file, tree).
+def deduplicated(types: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(*within, name, representative, shape, files, reason) of types (*within, name, seq, file, tree).
 
     Equal trees of a name collapse first, by a partial aggregation. The distinct shapes of a
     name then go, in order of first appearance, to the first representative that they match; a
@@ -40,7 +40,8 @@ def deduplicated(types: DataFrame) -> DataFrame:
     the reason. Shapes of a name are few: a task holds one name's.
     """
     ready(types.sparkSession)
-    shapes = types.groupBy("name", "tree").agg(F.min("seq").alias("seq"), F.collect_set("file").alias("files"))
+    keys = (*within, "name")
+    shapes = types.groupBy(*keys, "tree").agg(F.min("seq").alias("seq"), F.collect_set("file").alias("files"))
 
     def one(table: pa.Table) -> pa.Table:
         kept: list[dict] = []
@@ -55,12 +56,14 @@ def deduplicated(types: DataFrame) -> DataFrame:
                     break
                 reason = found
             else:
-                kept.append({"name": row["name"], "representative": row["seq"], "tree": tree, "files": set(row["files"]), "reason": reason})
+                kept.append({"representative": row["seq"], "tree": tree, "files": set(row["files"]), "reason": reason})
                 if reason:
                     kept[0]["reason"] = kept[0]["reason"] or reason
-        return pa.table({"name": [k["name"] for k in kept], "representative": pa.array([k["representative"] for k in kept], pa.int64()), "shape": pa.array([json.dumps(k["tree"], sort_keys=True) for k in kept]), "files": pa.array([sorted(k["files"]) for k in kept], pa.list_(pa.string())), "reason": pa.array([k["reason"] for k in kept], pa.string())})
+        same = {k: pa.array([table[k][0].as_py()] * len(kept), table[k].type) for k in keys}
+        return pa.table(same | {"representative": pa.array([k["representative"] for k in kept], pa.int64()), "shape": pa.array([json.dumps(k["tree"], sort_keys=True) for k in kept]), "files": pa.array([sorted(k["files"]) for k in kept], pa.list_(pa.string())), "reason": pa.array([k["reason"] for k in kept], pa.string())})
 
-    return shapes.groupBy("name").applyInArrow(one, "name string, representative long, shape string, files array<string>, reason string")
+    given = ", ".join(f"{k} {types.schema[k].dataType.simpleString()}" for k in keys)
+    return shapes.groupBy(*keys).applyInArrow(one, f"{given}, representative long, shape string, files array<string>, reason string")
 
 
 def each(rows: DataFrame, of, columns: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from debuglens.operators import lookup
-from debuglens.plans import aggregates, details, formats, imports, lookups, reports, scalars, sequences  # noqa: F401
+from debuglens.plans import aggregates, details, formats, imports, lookups, printing, reports, scalars, sequences  # noqa: F401
 from debuglens.plans.registry import ORACLES, QUERIES, Bridge
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from debuglens.functions import ast, stabs
 from debuglens.functions import columns as C
+from debuglens.functions import cpp
 from debuglens.operators import lookup, passes, reports, types
 from debuglens.operators.analyser import LOCATIONS, analyse
 from debuglens.plans.formats import _brands, _debug, _elf, _forged, _mdebug
@@ -23,22 +22,6 @@ CONSTRUCTORS = ("__ct", "__comp_ctor", "__base_ctor")
 DESTRUCTORS = ("__dt", "__comp_dtor", "__base_dtor", "__deleting_dtor")
 
 
-@dataclass(frozen=True)
-class PrinterConfig:
-    """Switches of the C++ reports."""
-
-    make_globals_extern: bool = False
-    skip_statics: bool = False
-    print_offsets_and_sizes: bool = True
-    print_function_bodies: bool = True
-    print_storage_information: bool = True
-    print_variable_data: bool = False
-    omit_this_parameter: bool = False
-    substitute_parameter_lists: bool = False
-    skip_member_functions_outside_types: bool = False
-    caller_stack_offsets: bool = False
-
-
 def has_flag(flags: Column, name: str) -> Column:
     return flags.bitwiseAND(F.lit(1 << FLAGS.index(name))) != 0
 
@@ -266,7 +249,7 @@ def c11(b: Bridge):
 @query("c12", f"WITH {FN} SELECT handle FROM fn WHERE handle % 3 <> 0 AND handle % 5 <> 0")
 def c12(b: Bridge):
     """Statics and member functions left out, as the report's switches say."""
-    config = PrinterConfig(skip_statics=True, skip_member_functions_outside_types=True)
+    config = cpp.PrinterConfig(skip_statics=True, skip_member_functions_outside_types=True)
     rows = b.functions.withColumn("is_static", F.col("handle") % 3 == 0).withColumn("is_member", F.col("handle") % 5 == 0)
     return rows.filter(~(F.lit(config.skip_statics) & F.col("is_static")) & ~(F.lit(config.skip_member_functions_outside_types) & F.col("is_member"))).select("handle")
 
@@ -340,7 +323,6 @@ def i02(b: Bridge):
 #: Mnemonics of the main instruction table by opcode; None where another table decides.
 MNEMONICS = {2: "j", 3: "jal", 4: "beq", 5: "bne", 6: "blez", 7: "bgtz", 8: "addi", 9: "addiu", 10: "slti", 11: "sltiu", 12: "andi", 13: "ori", 14: "xori", 15: "lui", 20: "beql", 21: "bnel", 22: "blezl", 23: "bgtzl", 24: "daddi", 25: "daddiu", 26: "ldl", 27: "ldr", 30: "lq", 31: "sq", 32: "lb", 33: "lh", 34: "lwl", 35: "lw", 36: "lbu", 37: "lhu", 38: "lwr", 39: "lwu", 40: "sb", 41: "sh", 42: "swl", 43: "sw", 44: "sdl", 45: "sdr", 46: "swr", 49: "lwc1", 55: "ld", 57: "swc1", 63: "sd"}
 SPECIAL = {0: "sll", 2: "srl", 3: "sra", 4: "sllv", 6: "srlv", 7: "srav", 8: "jr", 9: "jalr", 10: "movz", 11: "movn", 12: "syscall", 13: "break", 15: "sync", 16: "mfhi", 17: "mthi", 18: "mflo", 19: "mtlo", 24: "mult", 25: "multu", 26: "div", 27: "divu", 32: "add", 33: "addu", 34: "sub", 35: "subu", 36: "and", 37: "or", 38: "xor", 39: "nor", 42: "slt", 43: "sltu", 44: "dadd", 45: "daddu", 46: "dsub", 47: "dsubu"}
-GPR = ("zero", "at", "v0", "v1", "a0", "a1", "a2", "a3", "t0", "t1", "t2", "t3", "t4", "t5", "t6", "t7", "s0", "s1", "s2", "s3", "s4", "s5", "s6", "s7", "t8", "t9", "k0", "k1", "gp", "sp", "fp", "ra")
 
 
 def mnemonic(word: Column) -> Column:
@@ -354,7 +336,7 @@ def signed_hex(value: Column) -> Column:
 
 def memory_operands(word: Column) -> Column:
     """``rt,immediate(rs)`` of loads and stores."""
-    names, immed = F.array(*map(F.lit, GPR)), C.mips_field(word, "immed")
+    names, immed = F.array(*map(F.lit, cpp.GPR)), C.mips_field(word, "immed")
     value = F.when(immed > 0x7FFF, immed - 0x10000).otherwise(immed)
     reg = lambda n: F.element_at(names, (C.mips_field(word, n) + 1).cast("int"))
     return F.concat(reg("rt"), F.lit(","), signed_hex(value), F.lit("("), reg("rs"), F.lit(")"))
