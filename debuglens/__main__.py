@@ -1,4 +1,4 @@
-"""Command line: ``python -m debuglens COMMAND PATH [--out DIR]`` reads symbol files below a path and shows or writes a table."""
+"""Command line: ``python -m debuglens COMMAND PATH [--out DIR]`` reads symbol files below a path and shows or writes a table or a report."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from debuglens.operators import graph, printing, reports
 from debuglens.operators.analyser import analyse
+from debuglens.operators.database import SymbolDb
+from debuglens.operators.importer import import_files
 from debuglens.sources import tables
 
 
@@ -43,17 +46,71 @@ COMMANDS = {
 }
 
 
+def _json(db: SymbolDb) -> DataFrame:
+    lists = {kind: reports.symbol_json(db[kind].withColumns({c: F.lit(None).cast("long") for c in ("address", "size") if c not in db[kind].columns})) for kind in sorted(db.tables) if kind not in ("faults", "symbol_sources")}
+    return reports.document_lines(lists, "debuglens")
+
+
+def _graph(db: SymbolDb) -> DataFrame:
+    kinds = printing.distinct_types(db)
+    plain = F.get_json_object("tree", "$.kind") != "builtin"
+    nodes = kinds.filter(plain & (F.col("name") != "")).select(F.col("handle").alias("id"), F.col("name").alias("label"))
+    edges = printing.type_references(kinds).select("src", "dst", F.lit("reference").alias("kind"), F.lit(False).alias("is_forward_declared"))
+    return reports.dot_lines(nodes, graph.dependencies(edges))
+
+
+def _types(db: SymbolDb) -> DataFrame:
+    return printing.types_text(printing.distinct_types(db)).select("handle", F.col("text").alias("line"))
+
+
+#: Reports of the database as lines, and the columns that order them.
+REPORTS = {
+    "print-functions": ("functions as C++, by source file", lambda db: printing.by_file(db, "functions", printing.functions_text(db)), ["idx"]),
+    "print-globals": ("global variables as C++, by source file", lambda db: printing.by_file(db, "global_variables", printing.globals_text(db)), ["idx"]),
+    "print-types": ("distinct types as C++", _types, ["handle"]),
+    "type-graph": ("which types refer to which, as DOT", _graph, ["part", "line"]),
+    "labels": ("labels with their addresses", lambda db: reports.label_lines(db["labels"]), ["handle"]),
+    "files": ("source files with their addresses", lambda db: reports.file_lines(db["source_files"]), ["handle"]),
+    "json": ("the database as one JSON document", _json, ["part", "ord"]),
+    "faults": ("files that can't be imported, and why", lambda db: db["faults"].select("module_handle", F.concat_ws(": ", "path", "message").alias("line")), ["module_handle"]),
+}
+
+
+def _sources(spark: SparkSession, path: str, listed: str, folder: str) -> None:
+    """Writes the source files of one symbol file for the paths that a list names, in the list's order."""
+    files = tables.images(spark, path)
+    db = import_files(files)
+    images = files.join(db["modules"].select(F.col("handle").alias("module_handle"), F.col("name").alias("path")), "path").select("module_handle", "content")
+    words = F.filter(F.split("value", r"\s+"), lambda w: w != "")
+    paths = tables.text_file(spark, listed).select(F.posexplode(words).alias("idx", "path")).join(db["modules"].select(F.col("handle").alias("module_handle")))
+    for written in printing.write_sources(printing.source_texts(db, paths, images=images), folder):
+        print(written)
+
+
 def parser() -> argparse.ArgumentParser:
-    out = argparse.ArgumentParser(prog="debuglens", description="Tables of debugging symbols.", formatter_class=argparse.RawDescriptionHelpFormatter, epilog="commands:\n" + "\n".join(f"  {k:12}{v[0]}" for k, v in COMMANDS.items()))
-    out.add_argument("command", choices=COMMANDS)
+    out = argparse.ArgumentParser(prog="debuglens", description="Tables of debugging symbols.", formatter_class=argparse.RawDescriptionHelpFormatter, epilog="commands:\n" + "\n".join(f"  {k:17}{v[0]}" for k, v in [*COMMANDS.items(), *REPORTS.items(), ("sources", ("write source files again (needs --list and --out)",))]))
+    out.add_argument("command", choices=[*COMMANDS, *REPORTS, "sources"])
     out.add_argument("path", help="a file, or a folder that is searched whole")
-    out.add_argument("--out", help="write Parquet here instead of showing rows")
+    out.add_argument("--out", help="write here instead of showing: Parquet, lines of a report, or source files")
+    out.add_argument("--list", help="a text file of source paths in order")
     return out
 
 
 def main(argv: list[str] | None = None) -> None:
     given = parser().parse_args(argv)
     spark = SparkSession.builder.appName("debuglens").getOrCreate()
+    if given.command == "sources":
+        if not (given.list and given.out):
+            raise SystemExit("sources needs --list and --out")
+        return _sources(spark, given.path, given.list, given.out)
+    if given.command in REPORTS:
+        _, of, order = REPORTS[given.command]
+        lines = of(import_files(tables.images(spark, given.path)))
+        if given.out:
+            return reports.write_lines(lines, given.out, order)
+        for row in lines.orderBy(*order).toLocalIterator():
+            print(row["line"])
+        return None
     rows = COMMANDS[given.command][1](tables.images(spark, given.path))
     if given.out:
         rows.write.parquet(given.out)

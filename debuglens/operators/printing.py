@@ -204,6 +204,24 @@ def paired(files: DataFrame, paths: DataFrame) -> DataFrame:
     return left.groupBy("module_handle").cogroup(right.groupBy("module_handle")).applyInArrow(run, "module_handle long, path string, file long")
 
 
+def type_references(kinds: DataFrame) -> DataFrame:
+    """(src, dst, n): how often each type's tree names another one of its module; the first of a name is meant."""
+
+    def uses(text):
+        found, todo = Counter(), [json.loads(text)]
+        while todo:
+            tree = todo.pop()
+            if tree["kind"] == "type_name" and tree["refers"]:
+                found[tree["refers"]] += 1
+            todo += [b["type"] for b in tree.get("bases") or ()] + (tree.get("fields") or []) + (tree.get("members") or []) + (tree.get("params") or [])
+            todo += [tree[r] for r in ("element", "underlying", "returns", "class", "value") if isinstance(tree.get(r), dict)]
+        return [{"name": n, "n": k} for n, k in found.items()]
+
+    named = kinds.groupBy("module_handle", "name").agg(F.min("handle").alias("dst"))
+    counted = tables.decoded(kinds.select("handle", "tree"), uses, "name string, n long").withColumnRenamed("handle", "src")
+    return counted.join(kinds.select(F.col("handle").alias("src"), "module_handle"), "src").join(named, ["module_handle", "name"]).select("src", "dst", "n")
+
+
 def routed_types(db: SymbolDb, kinds: DataFrame) -> DataFrame:
     """kinds (as distinct_types() gives them) with their files after both guesses, and only: whether one file alone had the type.
 
@@ -218,20 +236,7 @@ def routed_types(db: SymbolDb, kinds: DataFrame) -> DataFrame:
     named = kinds.groupBy("module_handle", "name").agg(F.min("handle").alias("handle"))
     claimed = owners.filter("source_file IS NOT NULL").groupBy("module_handle", "name").agg(F.max_by("source_file", "function").alias("claimed")).join(named, ["module_handle", "name"]).select("handle", "claimed")
     kinds = cut(kinds.join(claimed, "handle", "left").withColumn("files", F.when(F.col("claimed").isNotNull(), F.array("claimed")).otherwise(F.col("files"))).drop("claimed"))
-
-    def uses(text):
-        found = Counter()
-        todo = [json.loads(text)]
-        while todo:
-            tree = todo.pop()
-            if tree["kind"] == "type_name" and tree["refers"]:
-                found[tree["refers"]] += 1
-            todo += [b["type"] for b in tree.get("bases") or ()] + (tree.get("fields") or []) + (tree.get("members") or []) + (tree.get("params") or [])
-            todo += [tree[r] for r in ("element", "underlying", "returns", "class", "value") if isinstance(tree.get(r), dict)]
-        return [{"name": n, "n": k} for n, k in found.items()]
-
-    counted = tables.decoded(kinds.select("handle", "tree"), uses, "name string, n long").withColumnRenamed("handle", "src").join(kinds.select(F.col("handle").alias("src"), "module_handle"), "src")
-    references = counted.join(named.withColumnRenamed("handle", "dst"), ["module_handle", "name"]).select("src", "dst", "n")
+    references = type_references(kinds)
     mapped = types.map_to_files(kinds.select(F.col("module_handle").alias("module"), "handle", "files"), references)
     return kinds.drop("files").join(mapped, "handle")
 
