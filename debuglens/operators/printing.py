@@ -24,10 +24,11 @@ from debuglens.session import cut, ready
 from debuglens.sources import decode, tables
 from debuglens.sources.layout import Malformed
 
-#: Endings of paths that are written as C or C++; others are assembly.
-ENDINGS = ("c", "cpp", "cc", "iac", "src")
+# The mark of files not begun, and where types of no single file go.
 NOT_STARTED = "// STATUS: NOT STARTED\n\n"
 LOST = "lost+found.h"
+#: Endings of paths that are written as C or C++; others are assembly.
+ENDINGS = ("c", "cpp", "cc", "iac", "src")
 TEXT = "text string, spaced int"
 
 
@@ -110,7 +111,7 @@ def by_file(db: SymbolDb, kind: str, texts: DataFrame, by_address: bool = False)
     else:
         rows = cut(rows.withColumn("symbol", F.col("handle")))
     marked = cut(reports.file_breaks(rows, "source_file"))
-    rule = F.concat(F.lit(f"{cpp.RULE}\n// FILE -- "), F.coalesce("file_name", F.lit("(unknown)")), F.lit(f"\n{cpp.RULE}\n"))
+    rule = F.concat(F.lit(f"{cpp.RULE}\n{cpp.FILE}"), F.coalesce("file_name", F.lit("(unknown)")), F.lit(f"\n{cpp.RULE}\n"))
     before = lookup.dense_index(marked).select((F.col("idx") + 1).alias("idx"), F.col("spaced").alias("spaced_before"))
     placed = lookup.dense_index(marked).join(before, "idx", "left")
     blank = F.when((F.col("spaced") == 1) | (F.col("spaced_before") == 1), "\n").otherwise("")
