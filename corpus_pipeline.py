@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from debuglens.llm import bpe, exact_dedup, mixing, nearsets, quality
 from debuglens.llm.common import documents, table
 from debuglens.llm.queries import bpe_path
-from debuglens.session import dropped, stored
+from debuglens.session import dropped, lean, stored
 
 
 # Every stage returns the columns of docs, whatever their names are, and of an empty table an empty
@@ -24,11 +24,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Each row is scored by itself, repeated ones too. Without labels of both classes every row stays.
     """
+    lean(spark)
     return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts: most code points, then smallest doc_id (null last), then digest."""
+    lean(spark)
     return exact_dedup.survivors(docs)
 
 
@@ -37,6 +39,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words are one component.
     """
+    lean(spark)
     return nearsets.survivors(docs)
 
 
@@ -50,6 +53,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, decoded_sha256 of each row: what a trainer reads, and the proof of its round trip."""
+    lean(spark)
     return bpe.digests(docs, bpe_path(), with_ids=True)
 
 

@@ -171,7 +171,7 @@ def _inputs(docs: DataFrame, more=()) -> DataFrame:
 
 def _featured(batch: pa.RecordBatch, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     part = batch.slice(first, count)
-    x = np.stack([text_view(t.as_buffer().to_pybytes()) for t in part.column(1)])
+    x = np.stack([text_view(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in part.column(1)])
     m = np.stack([meta_view(*row) for row in zip(*(part.column(k).to_pylist() for k in (2, 3, 4, 5)))])
     return x, m
 
@@ -239,17 +239,24 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: CoTrained | None) -> DataFrame:
-    """The rows of docs, with their columns, that the classifier accepts, in one pass over the texts."""
+    """The rows of docs, with their columns, that the classifier accepts, in one pass over the texts.
+
+    Each text goes to Python once, as the column of docs that comes back.
+    """
     ready(docs.sparkSession)
+    names = docs.columns
+    views = ("lang", "source", "points", "lines")
 
     def run(batches):
         for batch in batches:
+            text = batch.column(len(views) + at)
+            seen = pa.RecordBatch.from_arrays([text, text, *batch.columns[: len(views)]], names=COLUMNS)
             for first in range(0, batch.num_rows, 256):
-                x, m = _featured(batch, first, 256)
+                x, m = _featured(seen, first, 256)
                 keep = model.score(x, m)[0] >= THRESHOLD if model is not None else np.ones(len(x), bool)
                 part = batch.slice(first, len(x)).filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays(part.columns[6:], names=names)
+                yield pa.RecordBatch.from_arrays(part.columns[len(views) :], names=names)
 
-    names = docs.columns
+    at = [c.lower() for c in names].index("text")
     wide = _inputs(docs, [F.col(c).alias(f"own_{k}_") for k, c in enumerate(names)])
-    return wide.mapInArrow(run, docs.schema)
+    return wide.drop("doc_id", "text").mapInArrow(run, docs.schema)
