@@ -37,7 +37,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of the smallest doc_id (null last) of each component of texts that share 0.8 of their five-word shingles.
 
-    Texts without words are one component.
+    SimHash finds the candidates, whole sets decide. Texts without words are one component.
     """
     lean(spark)
     return nearsets.survivors(docs)
