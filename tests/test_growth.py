@@ -1,8 +1,9 @@
 """Steps whose cost must grow no faster than their input: how they are dealt out, and what they hold or send."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from debuglens.operators import types
+from debuglens.operators import lookup, types
 from debuglens.operators.importer import import_files
 from debuglens.operators.printing import distinct_types, functions_text, globals_text
 from debuglens.plans import imports, printing
@@ -40,3 +41,11 @@ def test_imports_deal_out_their_joins(spark):
     for made in (functions_text(db), globals_text(db), distinct_types(db)):
         assert "Broadcast" not in plan(made)
     assert "Broadcast" not in plan(imports._with_path(db, "data_types"))
+
+
+def test_open_ranges_are_dealt_out(spark):
+    """Ranges that contain most symbols: no task gives most of the pairs."""
+    symbols = spark.range(0, 8192, 1, 1).selectExpr("id AS handle", "id * 64 AS address")
+    ranges = spark.range(30).selectExpr("id AS r", "id * 640 AS low", "CAST(NULL AS BIGINT) AS high")
+    given = [r["count"] for r in lookup.in_ranges(ranges, symbols).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(given) == sum(8192 - 10 * k for k in range(30)) and 2 * max(given) < sum(given)
