@@ -49,3 +49,10 @@ def test_open_ranges_are_dealt_out(spark):
     ranges = spark.range(30).selectExpr("id AS r", "id * 640 AS low", "CAST(NULL AS BIGINT) AS high")
     given = [r["count"] for r in lookup.in_ranges(ranges, symbols).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(given) == sum(8192 - 10 * k for k in range(30)) and 2 * max(given) < sum(given)
+
+
+def test_few_intervals_go_to_their_probes(spark):
+    intervals = spark.createDataFrame([(0, 300, "a"), (400, 600, "b")], "lo_ long, hi_ long, name string")
+    found = lookup.interval_join(spark.range(700).selectExpr("id AS at"), intervals, "at", "left")
+    assert "Exchange hash" not in plan(found)
+    assert {r["name"]: r["count"] for r in found.groupBy("name").count().collect()} == {"a": 300, "b": 200, None: 200}
