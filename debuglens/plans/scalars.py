@@ -185,11 +185,13 @@ def i44(b: Bridge):
 
 @query("a17", "SELECT p_partkey AS h, p_size % 64 AS symbol_type, p_partkey % 32 AS symbol_class, p_partkey AS \"index\" FROM part")
 def a17(b: Bridge):
-    """Fields packed into a word, written as bytes and read again."""
-    word = F.col("p_size") % 64 + F.shiftleft((F.col("p_partkey") % 32), 6) + F.shiftleft(F.col("p_partkey"), 12)
-    data = C.le_bytes(word, 4)
-    fields = C.packed_symbol(C.le_unsigned(data, F.lit(0), 4))
-    return b.table("part").select(F.col("p_partkey").alias("h"), fields["symbol_type"].cast("int").alias("symbol_type"), fields["symbol_class"].alias("symbol_class"), fields["index"].alias("index"))
+    """Fields packed into words, written as bytes and read again; an index has 20 bits, so what a key has above them is the index of a second word."""
+    key = F.col("p_partkey")
+    word = lambda index: F.col("p_size") % 64 + F.shiftleft(key % 32, 6) + F.shiftleft(index.bitwiseAND(F.lit(0xFFFFF)), 12)
+    data = F.concat(C.le_bytes(word(key), 4), C.le_bytes(word(F.shiftright(key, 20)), 4))
+    fields, above = (C.packed_symbol(C.le_unsigned(data, F.lit(at), 4)) for at in (0, 4))
+    index = fields["index"] + F.shiftleft(above["index"], 20)
+    return b.table("part").select(key.alias("h"), fields["symbol_type"].cast("int").alias("symbol_type"), fields["symbol_class"].alias("symbol_class"), index.alias("index"))
 
 
 @query("a18", "SELECT p_partkey AS h, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 256 END AS code FROM part")
