@@ -13,6 +13,7 @@ from debuglens.operators.analyser import LOCATIONS, analyse
 from debuglens.plans.formats import _brands, _debug, _elf, _forged, _mdebug
 from debuglens.plans.registry import FN, GV, Bridge, query
 from debuglens.plans.sequences import P, _symbols
+from debuglens.session import dealt
 from debuglens.sources import decode, dwarf, forge, tables
 
 #: Import switches, in the order of their bits.
@@ -133,7 +134,7 @@ def a28(b: Bridge):
 
 
 def _block(b: Bridge, block: Column, of, columns: str) -> DataFrame:
-    return tables.decoded(b.table("part").select(F.col("p_partkey").alias("h"), block.alias("block")), of, columns)
+    return tables.decoded(dealt(b.table("part").select(F.col("p_partkey").alias("h"), block.alias("block"))), of, columns)
 
 
 @query("a29", "SELECT p_partkey AS h, v.op, CASE v.op WHEN 'basereg' THEN 29 WHEN 'const' THEN p_partkey END AS value FROM part, (VALUES ('basereg'), ('const'), ('add')) v(op)")
@@ -317,7 +318,7 @@ def i02(b: Bridge):
     """A type's live range suffix."""
     text = F.concat(F.lit("x:r(0,1);l(#"), F.col("p_partkey").cast("string"), F.lit(",#"), (F.col("p_partkey") + F.col("p_size")).cast("string"), F.lit(")"))
     rows = b.table("part").select(F.col("p_partkey").alias("h"), text.alias("t"))
-    return tables.decoded(rows, lambda t: [dict(zip(("low", "high"), stabs.parse_symbol(t).type.attrs["live_range"]))], "low long, high long")
+    return tables.decoded(dealt(rows), lambda t: [dict(zip(("low", "high"), stabs.parse_symbol(t).type.attrs["live_range"]))], "low long, high long")
 
 
 #: Mnemonics of the main instruction table by opcode; None where another table decides.
@@ -376,7 +377,7 @@ def j08(b: Bridge):
     def of(h):
         return [{"outcome": _pair("S:T(1,1)=s4m:(0,1),0,32;;", plain, int_) if h % 2 == 0 else _pair(plain, plain)}]
 
-    return tables.decoded(b.table("part").select(F.col("p_partkey").alias("h"), F.col("p_partkey").alias("k")), of, "outcome string")
+    return tables.decoded(dealt(b.table("part").select(F.col("p_partkey").alias("h"), F.col("p_partkey").alias("k"))), of, "outcome string")
 
 
 @query("j10", "SELECT p_partkey AS h, p_partkey % 2 = 0 AS is_void FROM part")
@@ -384,7 +385,7 @@ def j10(b: Bridge):
     """A type that is itself is void."""
     text = F.when(F.col("p_partkey") % 2 == 0, "v:t(0,5)=(0,5)").otherwise("v:t(0,5)=r(0,1);0;255;")
     rows = b.table("part").select(F.col("p_partkey").alias("h"), text.alias("t"))
-    return tables.decoded(rows, lambda t: [{"is_void": int(ast.from_stabs((s := stabs.parse_symbol(t)).type, s.type.numbered()).get("class") == "void")}], "is_void int").withColumn("is_void", F.col("is_void") == 1)
+    return tables.decoded(dealt(rows), lambda t: [{"is_void": int(ast.from_stabs((s := stabs.parse_symbol(t)).type, s.type.numbered()).get("class") == "void")}], "is_void int").withColumn("is_void", F.col("is_void") == 1)
 
 
 @query("j12", "SELECT p_partkey AS h, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 2 END AS members FROM part")
@@ -393,7 +394,7 @@ def j12(b: Bridge):
     more = F.when(F.col("p_partkey") % 2 == 0, "").otherwise("get::(1,3)=##(0,1);:_ZA;2A.;")
     text = F.concat(F.lit("A:T(1,1)=s1operator=::(1,2)=##(0,1);:_ZB;2A.;"), more, F.lit(";"))
     rows = b.table("part").select(F.col("p_partkey").alias("h"), text.alias("t"))
-    return tables.decoded(rows, lambda t: [{"members": len(ast.from_stabs((s := stabs.parse_symbol(t)).type, s.type.numbered())["members"])}], "members int")
+    return tables.decoded(dealt(rows), lambda t: [{"members": len(ast.from_stabs((s := stabs.parse_symbol(t)).type, s.type.numbered())["members"])}], "members int")
 
 
 @query("j14", "SELECT p_partkey AS h, 'pointer' AS kind, CAST(p_size + 1 AS BIGINT) AS count FROM part")
@@ -413,7 +414,7 @@ def j17(b: Bridge):
     """The storage unit behind a bitfield's type: an enum counts as four bytes."""
     text = F.element_at(F.array(F.lit("t:t(1,1)=eA:0,;"), F.lit("t:t(1,1)=r(1,1);-2147483648;2147483647;"), F.lit("t:t(1,1)=r(1,1);0;255;")), (F.col("p_partkey") % 3 + 1).cast("int"))
     rows = b.table("part").select(F.col("p_partkey").alias("h"), text.alias("t"))
-    return tables.decoded(rows, lambda t: [{"bytes": ast.storage((s := stabs.parse_symbol(t)).type, s.type.numbered())}], "bytes int")
+    return tables.decoded(dealt(rows), lambda t: [{"bytes": ast.storage((s := stabs.parse_symbol(t)).type, s.type.numbered())}], "bytes int")
 
 
 @query("j18", "SELECT p_brand AS file, count(DISTINCT p_type) + count(*) AS lines, count(*) AS indented FROM part GROUP BY p_brand")
@@ -461,7 +462,7 @@ def b05(b: Bridge):
 def b07(b: Bridge):
     text = F.concat(F.lit("x:t(1,1)=*(1,2)=ar(1,3)=r(1,3);0;4294967295;;0;"), F.col("p_size").cast("string"), F.lit(";(0,1)=r(0,1);0;255;"))
     rows = b.table("part").select(F.col("p_partkey").alias("h"), text.alias("t"))
-    return tables.decoded(rows, lambda t: [{"text": ast.declaration(ast.from_stabs((s := stabs.parse_symbol(t)).type, s.type.numbered()), s.name)}], "text string")
+    return tables.decoded(dealt(rows), lambda t: [{"text": ast.declaration(ast.from_stabs((s := stabs.parse_symbol(t)).type, s.type.numbered()), s.name)}], "text string")
 
 
 @query("b08", "SELECT l_orderkey AS o, string_agg('int p' || l_linenumber, ', ' ORDER BY l_linenumber, l_partkey) AS params FROM lineitem WHERE l_linenumber <> 1 GROUP BY l_orderkey")
@@ -515,7 +516,7 @@ def j13(b: Bridge):
     k = F.col("p_partkey").cast("string")
     text = F.concat(F.lit("T"), k, F.lit(":T(1,1)=s1f::(1,2)=#(1,1),(0,1),(1,3)=*(1,1);:_ZT1f;2A.;;"))
     rows = b.table("part").select(F.col("p_partkey").alias("h"), text.alias("t"))
-    return tables.decoded(rows, lambda t: [{"target": ast.from_stabs((s := stabs.parse_symbol(t)).type, s.type.numbered())["members"][0]["params"][0]["value"]["name"]}], "target string")
+    return tables.decoded(dealt(rows), lambda t: [{"target": ast.from_stabs((s := stabs.parse_symbol(t)).type, s.type.numbered())["members"][0]["params"][0]["value"]["name"]}], "target string")
 
 
 @query("l09", f"WITH {FN} SELECT count(*) AS n FROM fn")

@@ -10,7 +10,7 @@ from debuglens.functions import demangle, stabs
 from debuglens.functions import columns as C
 from debuglens.operators import lookup, passes
 from debuglens.plans.registry import Bridge, query
-from debuglens.session import ready
+from debuglens.session import dealt, ready
 from debuglens.sources import decode, forge, tables
 
 
@@ -205,7 +205,7 @@ def a44(b: Bridge):
 
 def _stabs(rows: DataFrame, text, columns: str, of) -> DataFrame:
     """of(parsed symbol) as rows, for the text column of each row, keyed by its first column."""
-    return tables.decoded(rows.select(rows.columns[0], text.alias("text")), lambda t: of(stabs.parse_symbol(t)), columns)
+    return tables.decoded(dealt(rows.select(rows.columns[0], text.alias("text"))), lambda t: of(stabs.parse_symbol(t)), columns)
 
 
 @query("i01", "SELECT p_partkey AS h, 'T' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'type_tag' ELSE 'type_name' END AS descriptor, CAST(1 AS BIGINT) AS file_no, CAST(p_partkey AS BIGINT) AS type_no, CAST(p_size AS BIGINT) AS size, 'a' AS field, CAST(p_size * 8 AS BIGINT) AS bits FROM part")
@@ -262,11 +262,11 @@ def i10(b: Bridge):
     key = F.concat(F.lit("C"), F.col("p_partkey").cast("string"))
     mangled = F.concat(F.lit("_ZN2ns"), F.length(key).cast("string"), key, F.lit("3getEiPKc"))
     rows = b.table("part").select(F.col("p_partkey").alias("h"), mangled.alias("m"))
-    return tables.decoded(rows, lambda m: [{"name": demangle.demangle(m)}], "name string")
+    return tables.decoded(dealt(rows), lambda m: [{"name": demangle.demangle(m)}], "name string")
 
 
 @query("i11", "SELECT p_partkey AS h, CASE p_partkey % 4 WHEN 0 THEN 'operator+' WHEN 1 THEN 'operator new' WHEN 2 THEN 'operator+=' ELSE 'operator Type' END AS name FROM part")
 def i11(b: Bridge):
     mangled = F.element_at(F.array(*[F.lit(x) for x in ("__pl", "__nw", "op$assign_plus", "__op4Type")]), (F.col("p_partkey") % 4 + 1).cast("int"))
     rows = b.table("part").select(F.col("p_partkey").alias("h"), mangled.alias("m"))
-    return tables.decoded(rows, lambda m: [{"name": demangle.operator_name(m)}], "name string")
+    return tables.decoded(dealt(rows), lambda m: [{"name": demangle.operator_name(m)}], "name string")

@@ -8,6 +8,7 @@ from debuglens.functions import ast
 from debuglens.functions import columns as C
 from debuglens.operators import graph, lookup, passes, reports, types
 from debuglens.plans.registry import FN, GV, SF, Bridge, query
+from debuglens.session import dealt
 
 
 def _struct(b: Bridge):
@@ -253,7 +254,7 @@ def i45(b: Bridge):
     from debuglens.sources.tables import decoded
 
     rows = b.table("part").select(F.col("p_partkey").alias("h"), (F.col("p_partkey") / 2).cast("string").alias("v"))
-    return decoded(rows, lambda v: [{"text": ast.float_text(float(v), 9) + "f"}], "text string")
+    return decoded(dealt(rows), lambda v: [{"text": ast.float_text(float(v), 9) + "f"}], "text string")
 
 
 @query("d21", f"WITH {SF} SELECT name, idx FROM (SELECT name, CAST(row_number() OVER (ORDER BY handle) - 1 AS BIGINT) AS idx FROM sf) q")

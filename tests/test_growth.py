@@ -75,3 +75,8 @@ def test_keys_beyond_the_bits_of_an_index(spark, tmp_path):
 @pytest.mark.parametrize("name", ["import_functions", "import_globals"])
 def test_keys_whose_addresses_met_in_other_areas(spark, tmp_path, name):
     assert beyond(spark, tmp_path, name, "SELECT 279616 + i FROM range(64) r(i) UNION ALL SELECT 699008 + i FROM range(128) r(i) UNION ALL SELECT 7199960")
+
+
+def test_small_rows_are_dealt_out_before_python(spark):
+    stabs = spark.range(0, 100, 1, 1).select("id", F.concat(F.lit("T:T(1,"), F.col("id").cast("string"), F.lit(")=s4;")).alias("stab"))
+    assert types.trees(stabs).rdd.getNumPartitions() > 1
