@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +16,31 @@ from debuglens.session import dealt, ready
 from debuglens.sources import decode, forge, tables
 
 
+class Rows:
+    """The rows of an Arrow table as dicts, a thousand of which are there at a time."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+
+    def __len__(self) -> int:
+        return self.table.num_rows
+
+    def __getitem__(self, k: int) -> dict:
+        return self.table.slice(k, 1).to_pylist()[0]
+
+    def __iter__(self):
+        for batch in self.table.to_batches(1000):
+            yield from batch.to_pylist()
+
+
 def _forged(rows: DataFrame, key: str, build) -> DataFrame:
-    """(key, content): a file built from each group's rows, given as a list of dicts in order of the second column."""
+    """(key, content): a file built from each group's rows, Rows in order of the second column."""
 
     order = rows.columns[1]
     ready(rows.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
-        got = table.sort_by(order).to_pylist()
+        got = Rows(table.sort_by(order))
         return pa.table({key: pa.array([got[0][key]], table.schema.field(key).type), "content": pa.array([build(got)], pa.binary())})
 
     return rows.groupBy(key).applyInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, content binary")
@@ -153,11 +172,14 @@ def a16(b: Bridge):
     return rows.select("file", "value", "string", C.lookup({1: "GLOBAL", 6: "PROC"}, F.col("symbol_type").cast("int")).alias("kind"))
 
 
-def _debug(rows: list[dict]) -> bytes:
-    units: dict[str, list] = {}
-    for r in rows:
-        units.setdefault(r["ptype"], []).append(r)
-    return forge.debug([("compile_unit", [("name", "string", unit), ("low_pc", "addr", rs[0]["h"])], [("subroutine", [("name", "string", r["name"]), ("low_pc", "addr", r["h"] * 64), ("high_pc", "addr", r["h"] * 64 + r["size"])], []) for r in rs]) for unit, rs in units.items()])
+def _debug(rows: Rows) -> bytes:
+    """A unit for each type, in order of their first rows; a unit's rows follow each other in the table."""
+    table = rows.table.sort_by([("ptype", "ascending"), ("h", "ascending")]).combine_chunks()
+    counts = table.group_by("ptype", use_threads=False).aggregate([([], "count_all")]).sort_by("ptype")
+    n = counts["count_all"].to_pylist()
+    units = [Rows(table.slice(at, k)) for at, k in zip(accumulate(n, initial=0), n)]
+    units = sorted(((unit[0], unit) for unit in units), key=lambda u: u[0]["h"])
+    return forge.debug(("compile_unit", [("name", "string", first["ptype"]), ("low_pc", "addr", first["h"])], (("subroutine", [("name", "string", r["name"]), ("low_pc", "addr", r["h"] * 64), ("high_pc", "addr", r["h"] * 64 + r["size"])], ()) for r in unit)) for first, unit in units)
 
 
 @query("a21", "SELECT p_brand AS file, 'compile_unit' AS tag, CAST(0 AS BIGINT) AS depth, count(DISTINCT p_type) AS n FROM part GROUP BY p_brand UNION ALL SELECT p_brand, 'subroutine', 1, count(*) FROM part GROUP BY p_brand")

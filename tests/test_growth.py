@@ -4,11 +4,13 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from debuglens.operators import lookup, types
+from debuglens.operators import graph, lookup, types
 from debuglens.operators.importer import import_files
 from debuglens.operators.printing import distinct_types, functions_text, globals_text
 from debuglens.plans import catalogue, imports, printing
 from debuglens.plans.registry import Bridge
+from debuglens.sources import decode, forge, tables
+from debuglens.sources.layout import Malformed
 from test_queries import rows
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +82,17 @@ def test_keys_whose_addresses_met_in_other_areas(spark, tmp_path, name):
 def test_small_rows_are_dealt_out_before_python(spark):
     stabs = spark.range(0, 100, 1, 1).select("id", F.concat(F.lit("T:T(1,"), F.col("id").cast("string"), F.lit(")=s4;")).alias("stab"))
     assert types.trees(stabs).rdd.getNumPartitions() > 1
+
+
+def test_debug_sections_are_read_as_they_go(spark):
+    """Entries are handed on one by one, and built from rows that come one by one."""
+    unit = lambda name, children: ("compile_unit", [("name", "string", name)], children)
+    data = forge.debug(unit(f"u{k}", (("subroutine", [("name", "string", f"f{k}{j}")], ()) for j in range(3))) for k in range(2))
+    assert data == forge.debug([unit(f"u{k}", [("subroutine", [("name", "string", f"f{k}{j}")], []) for j in range(3)]) for k in range(2)])
+    read = decode.walked(data + b"\x08\0\0\0\xff\xff\0\0")
+    got = [next(read) for _ in range(24)]
+    assert [r["depth"] for part, r in got if part == "entry"] == [0, 1, 1, 1] * 2
+    with pytest.raises(Malformed):
+        next(read)
+    bad = tables.decoded(spark.createDataFrame([(1, data), (2, data + b"\x08\0\0\0\xff\xff\0\0")], "k long, content binary"), lambda c: (r for _, r in decode.walked(c)), tables.DIES, strict=False)
+    assert {r["k"] for r in bad.collect()} == {1}
