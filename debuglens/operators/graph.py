@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from debuglens.session import cut
+from debuglens.session import by_key, cut
 
 #: Hops that following type names may take.
 HOPS = 100
@@ -38,7 +38,7 @@ def closure(edges: DataFrame, hops: int) -> DataFrame:
     out, n = front, 0
     while n < hops:
         n += 1
-        front = cut(front.join(edges.withColumnRenamed("src", "target"), "target").select("node", F.col("dst").alias("target"), F.lit(n).cast("long").alias("hops")))
+        front = cut(front.join(by_key(edges.withColumnRenamed("src", "target")), "target").select("node", F.col("dst").alias("target"), F.lit(n).cast("long").alias("hops")))
         if front.isEmpty():
             break
         out = out.unionByName(front)
@@ -95,12 +95,12 @@ def flat_fields(bases: DataFrame, fields: DataFrame, depth: int = 100) -> DataFr
     while n < depth:
         n += 1
         up = bases.select(F.col("type").alias("at"), "base", "base_offset")
-        front = cut(front.join(up, "at").select("type", F.col("base").alias("at"), (F.col("shift") + F.col("base_offset")).alias("shift"), F.lit(n).cast("long").alias("level")))
+        front = cut(front.join(by_key(up), "at").select("type", F.col("base").alias("at"), (F.col("shift") + F.col("base_offset")).alias("shift"), F.lit(n).cast("long").alias("level")))
         if front.isEmpty():
             break
         out = out.unionByName(front)
     own = fields.withColumnsRenamed({"type": "at"})
-    return out.join(own, "at").select("type", "level", "ord", (F.col("shift") + F.col("offset")).alias("offset"))
+    return out.join(by_key(own), "at").select("type", "level", "ord", (F.col("shift") + F.col("offset")).alias("offset"))
 
 
 def dependencies(nodes: DataFrame) -> DataFrame:

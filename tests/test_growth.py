@@ -96,3 +96,9 @@ def test_debug_sections_are_read_as_they_go(spark):
         next(read)
     bad = tables.decoded(spark.createDataFrame([(1, data), (2, data + b"\x08\0\0\0\xff\xff\0\0")], "k long, content binary"), lambda c: (r for _, r in decode.walked(c)), tables.DIES, strict=False)
     assert {r["k"] for r in bad.collect()} == {1}
+
+
+def test_bases_are_dealt_out(spark):
+    edges = spark.range(2, 64).selectExpr("id AS type", "id DIV 2 AS base", "id AS base_offset")
+    found = graph.flat_fields(edges, spark.range(64).selectExpr("id AS type", "0 AS ord", "0L AS offset"))
+    assert "Broadcast" not in plan(found) and found.filter("type = 63").count() == 6
