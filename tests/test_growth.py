@@ -99,6 +99,8 @@ def test_debug_sections_are_read_as_they_go(spark):
 
 
 def test_bases_are_dealt_out(spark):
-    edges = spark.range(2, 64).selectExpr("id AS type", "id DIV 2 AS base", "id AS base_offset")
-    found = graph.flat_fields(edges, spark.range(64).selectExpr("id AS type", "0 AS ord", "0L AS offset"))
-    assert "Broadcast" not in plan(found) and found.filter("type = 63").count() == 6
+    edges = spark.createDataFrame([(k, k // 2, k) for k in range(2, 64)], "type long, base long, base_offset long")
+    fields = spark.createDataFrame([(k, 0, 0) for k in range(1, 64)], "type long, ord int, offset long")
+    found = graph.flat_fields(edges, fields)
+    assert "Broadcast" not in plan(found)
+    assert sorted((r["level"], r["offset"]) for r in found.collect() if r["type"] == 63) == [(0, 0), (1, 63), (2, 94), (3, 109), (4, 116), (5, 119)]
